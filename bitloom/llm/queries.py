@@ -4,18 +4,62 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from bitloom.llm.bpe import Tokenizer, digest_documents
+from bitloom.llm.mixing import mix_documents
 from bitloom.llm.ngram_join import ngram_jaccard_components
+from bitloom.llm.secrets import fit_secrets, scan_secrets
+from bitloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from bitloom.session import read_table
 
+#: The mix that the queries ask for: weights by tree level and value, 1 where none is given; and the domain of a source.
+WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "fr": 2, "de": 2, "es": 1}}
+
+
+def domain_of_source():
+    number = F.expr("try_cast(regexp_extract(source, '([0-9]+)$', 1) as int)")
+    return F.coalesce(F.concat(F.lit("d"), (number % 4).cast("string")), F.lit("other"))
+
+
+def tokenizer() -> Tokenizer:
+    return Tokenizer.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_documents(read_table(spark, sf_dir, "documents"), domain_of_source(), WEIGHTS, share=(3, 4), max_epochs=2)
+
+
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_documents(read_table(spark, sf_dir, "documents"), tokenizer())
+
+
+def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels.where(~held_out()))
+    scored = score_toxicity(docs, model)
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = scan_secrets(docs, fit_secrets(docs))
+    count = lambda kind: F.size(F.filter("findings", lambda f: f["kind"] == kind)).cast("long")
+    text = lambda spans: F.array_join(F.transform(spans, lambda f: F.concat_ws(":", f["kind"], f["start"].cast("string"), f["end"].cast("string"))), ",")
+    base = F.filter("findings", lambda f: f["kind"] != "network")
+    return found.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("findings")).alias("spans"), count("network").alias("n_network"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op9_ngram_jaccard_join,)}
+    return {f.__name__: f for f in (op3_source_mix, op4_byte_bpe, op6_toxic_segments, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
