@@ -10,9 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from bitloom.llm.bpe import Tokenizer, digest_documents
 from bitloom.llm.mixing import mix_documents
 from bitloom.llm.ngram_join import ngram_jaccard_components
+from bitloom.llm.quotes import reply_conversations
 from bitloom.llm.secrets import fit_secrets, scan_secrets
+from bitloom.llm.simhash import edited_fingerprints, likeness, near_fingerprints, text_form
 from bitloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
-from bitloom.session import read_table
+from bitloom.session import materialize, read_table
 
 #: The mix that the queries ask for: weights by tree level and value, 1 where none is given; and the domain of a source.
 WEIGHTS = {"domain": {"d0": 4, "d1": 3, "d2": 2, "d3": 1}, "lang": {"en": 5, "fr": 2, "de": 2, "es": 1}}
@@ -27,6 +29,10 @@ def tokenizer() -> Tokenizer:
     return Tokenizer.load(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reply_conversations(read_table(spark, sf_dir, "conversations"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"), domain_of_source(), WEIGHTS, share=(3, 4), max_epochs=2)
 
@@ -42,6 +48,18 @@ def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """n_near: for each row whose doc_id is divisible by 20, the other rows within 3 of 128 bits; null for other rows."""
+    prints = materialize(edited_fingerprints(read_table(spark, sf_dir, "documents")), "prints")
+    asked = prints.where("doc_id % 20 = 0").select("f1", "f2").distinct()
+    near = near_fingerprints(asked, prints.groupBy("f1", "f2").agg(F.count("*").alias("n")), radius=3)
+    near = near.groupBy(F.col("q1").alias("f1"), F.col("q2").alias("f2")).agg((F.sum("n") - 1).alias("near"))
+    return prints.join(near, ["f1", "f2"], "left").select(
+        "doc_id", "n_chars", "edited_sha256", text_form("f1", "f2").alias("fingerprint"), text_form("e1", "e2").alias("edited_fingerprint"),
+        likeness("f1", "f2", "e1", "e2").alias("near_edited"), likeness("f1", "f2", "x1", "x2").alias("near_next"), F.when(F.col("doc_id") % 20 == 0, F.col("near")).alias("n_near"),
+    )
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -59,7 +77,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_source_mix, op4_byte_bpe, op6_toxic_segments, op9_ngram_jaccard_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quote_linking, op3_source_mix, op4_byte_bpe, op6_toxic_segments, op7_simhash, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
