@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitloom.llm.bpe import Tokenizer, digest_documents
+from bitloom.llm.itq import embedding_components
 from bitloom.llm.mixing import mix_documents
 from bitloom.llm.ngram_join import ngram_jaccard_components
 from bitloom.llm.quotes import reply_conversations
@@ -60,6 +61,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(read_table(spark, sf_dir, "embeddings"), num=0.98)
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(read_table(spark, sf_dir, "documents"), k=3, num=90, den=100)
 
@@ -77,7 +82,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quote_linking, op3_source_mix, op4_byte_bpe, op6_toxic_segments, op7_simhash, op9_ngram_jaccard_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quote_linking, op3_source_mix, op4_byte_bpe, op6_toxic_segments, op7_simhash, op8_embedding_near_dedup, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
