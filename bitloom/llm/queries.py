@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitloom.llm.bpe import Tokenizer, digest_documents
 from bitloom.llm.itq import embedding_components
+from bitloom.llm.licenses import scan_licenses
 from bitloom.llm.mixing import mix_documents
 from bitloom.llm.ngram_join import ngram_jaccard_components
 from bitloom.llm.quotes import reply_conversations
 from bitloom.llm.secrets import fit_secrets, scan_secrets
 from bitloom.llm.simhash import edited_fingerprints, likeness, near_fingerprints, text_form
 from bitloom.llm.toxicity import fit_toxicity, held_out, score_toxicity
+from bitloom.llm.unigram import UnigramModel, count_tokens
 from bitloom.session import materialize, read_table
 
 #: The mix that the queries ask for: weights by tree level and value, 1 where none is given; and the domain of a source.
@@ -34,6 +36,12 @@ def op1_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reply_conversations(read_table(spark, sf_dir, "conversations"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(read_table(spark, sf_dir, "documents"))
+    spans = F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string")))
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"), F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",").alias("licenses"), F.array_join(spans, ",").alias("spans"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_documents(read_table(spark, sf_dir, "documents"), domain_of_source(), WEIGHTS, share=(3, 4), max_epochs=2)
 
@@ -42,6 +50,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(read_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read_table(spark, sf_dir, "documents"), UnigramModel.load(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op6_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
     model = fit_toxicity(docs, labels.where(~held_out()))
@@ -82,7 +94,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quote_linking, op3_source_mix, op4_byte_bpe, op6_toxic_segments, op7_simhash, op8_embedding_near_dedup, op9_ngram_jaccard_join, op10_secret_scan)}
+    return {f.__name__: f for f in (op1_quote_linking, op2_license_scan, op3_source_mix, op4_byte_bpe, op5_token_counts, op6_toxic_segments, op7_simhash, op8_embedding_near_dedup, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
