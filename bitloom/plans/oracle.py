@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from bitloom.functions import bits as B
@@ -174,6 +175,11 @@ cm AS (SELECT {_K}, sum(CASE WHEN s < decision_threshold THEN n ELSE 0 END)::DOU
 metrics AS (SELECT {_K}, auc, eer, eer_threshold, tn / (tn + fp) AS tn, fp / (tn + fp) AS fp, fn / (fn + tp) AS fn, tp / (fn + tp) AS tp, decision_threshold FROM chosen LEFT JOIN cm {j})"""
 
 
+def _again(ctes: str, prefix: str) -> str:
+    """The tables of a curve and its metrics under other names."""
+    return re.sub(r"\b(hist|cum|bent|points|segments|aucs|eers|chosen|cm|metrics)\b(?! FROM)", prefix + r"\1", ctes)
+
+
 def _with(ctes: str, select: str) -> str:
     return f"WITH {ctes}\n{select}"
 
@@ -242,4 +248,12 @@ JOIN (SELECT algo, metric, class, count(*) AS n, stddev_samp(round_even(similari
 labelled AS (SELECT 'sign' AS algo, 'label' AS transform, 'hamming' AS metric, CASE WHEN x.label = y.label THEN 1 ELSE 0 END AS class, 1 - bit_count(xor(x.b, y.b)) / 64.0::DOUBLE AS similarity FROM few x JOIN few y ON x.file_id < y.file_id),
 {_curve('labelled', score='similarity')}""", f"SELECT algo, {_round(['auc', 'eer', 'eer_threshold'])} FROM aucs JOIN eers USING (algo, transform, metric)"),
     }
+    weighted = f"""{full},
+{freq},
+wt AS (SELECT algo, bit, median(w) AS weight FROM (SELECT algo, transform, metric, bit, median(freq) AS w FROM freq WHERE metric = 'hamming' GROUP BY ALL) GROUP BY algo, bit),
+wd AS (SELECT p.file_a, p.file_b, p.algo, p.class, p.transform, 'hamming' AS metric, 1.0 - sum(CASE WHEN get_bit(xor(p.u, p.v), w.bit::INTEGER) = 1 THEN w.weight ELSE 0 END) / sum(w.weight) AS similarity FROM pairs p JOIN wt w ON p.algo = w.algo GROUP BY p.file_a, p.file_b, p.algo, p.class, p.transform),
+{_again(_curve("wd"), "w_")},
+{_again(_metrics(), "w_")}"""
+    out["metrics_weighted"] = _with(weighted, f"SELECT {_K}, {_round(mcols)} FROM w_metrics")
+    out["auc_improvement"] = _with(weighted, f"SELECT {_K}, round(m.auc, 6) AS auc_plain, round(w.auc, 6) AS auc_weighted, round(w.auc - m.auc, 6) AS improvement FROM metrics m JOIN w_metrics w USING (algo, transform, metric)")
     return out
