@@ -3,16 +3,23 @@
 A document is the set of its distinct k-word shingles. For sets x, y with Jaccard >= t the
 overlap is at least ceil(t * max(|x|, |y|)), so under *every* total order of the tokens the
 first |x| - ceil(t|x|) + l tokens of x share l tokens or more with those of y. Order A (rare
-tokens first) is indexed; a pair must share l tokens there. Orders B and C are two more
-orders, whose prefixes travel as small signatures; a pair must pass both before the full
-sets are fetched and the exact integer test den * |x & y| >= num * |x | y| decides.
+tokens first) makes the candidates; orders B and C are two more orders whose prefixes a
+candidate pair must share before its full sets are compared by the exact integer test
+den * |x & y| >= num * |x | y|.
+
+Index of order A. l grows with the set size. Prefix tokens are dealt to l - 1 groups by a
+hash, so two of the l shared ones fall in one group: the index key is a pair of tokens, which
+unrelated documents hardly ever share. (Small sets use single tokens.) A prefix token that
+no other prefix holds is private: whoever shares a later prefix token lacks it. So a key
+carries the number v of private tokens before it, a lower bound of |x - y|, and pairs whose
+bounds exceed what the threshold allows are never made.
 
 Scale. Equal sets become one representative first, so copies cost nothing later. Rarity
 comes from a fixed-size count sketch over all documents (4 MB whatever the input), and any
-error in it only changes the order, never the result. Lists of an index token with up to
-SMALL members are enumerated; in longer ones members are compared with one pivot a round,
-linked members merge, and only pairs of different components are enumerated at the end, so
-a group of near copies costs its size rather than its square and no link between two
+error in it only changes the order, never the result. Lists of a key with up to SMALL
+members are enumerated; in longer ones members are compared with the pivot of the smallest
+v, and the others with a second one; linked members merge, and only pairs of different components are enumerated at the end.
+So a group of near copies costs its size rather than its square, and no link between two
 components is lost.
 """
 
@@ -23,8 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import Column, DataFrame, functions as F
 
 from bitloom.llm.common import byte_classes, mix, shingles, slices, string_buffers, tune, words
 from bitloom.llm.graph import components
@@ -34,10 +40,10 @@ from bitloom.session import materialize
 SEPARATORS = b" \t\n\x0b\x0c\r"
 #: Counters of the rarity sketch, and counters in one of its blocks.
 SLOTS, BLOCK = 1 << 20, 1 << 12
-#: Shared prefix tokens that a pair needs.
-SHARED = 3
-#: Longest list that is enumerated at once, and rounds of pivots for longer ones.
-SMALL, PIVOTS = 32, 3
+#: Shared prefix tokens that a pair needs: of single-token keys, of token pairs at least; largest set that has no token pairs.
+SHARED, PAIRED, TINY = 3, 12, 24
+#: Longest list that is enumerated at once.
+SMALL = 32
 
 _CLASSES = byte_classes(SEPARATORS)
 
@@ -57,6 +63,20 @@ def _need(n, num: int, den: int):
     return -(-num * n // den)
 
 
+def _size_class(n: int) -> int:
+    return max(n, 1).bit_length() - 1
+
+
+def _class_shared(c: int) -> int:
+    """Shared prefix tokens of two sets in size class c; a sixteenth of their size, so the keys of a set are linear in it."""
+    return max(PAIRED, (1 << c) >> 4)
+
+
+def _classes(n: int, num: int, den: int) -> range:
+    """Size classes in which a set of n may meet a partner."""
+    return range(_size_class(max(1, n * num // den)), _size_class(n * den // num + 1) + 1)
+
+
 def _prefix(rank: np.ndarray, tokens: np.ndarray, p: int) -> np.ndarray:
     return tokens if p >= len(tokens) else tokens[np.argpartition(rank, p - 1)[:p]]
 
@@ -94,44 +114,94 @@ def rarity_sketch(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def set_features(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """doc_id, n, key (64-bit hash of the set), a (prefix in order A), b and c (signatures of orders B and C)."""
+    """doc_id, n, key (64-bit hash of the set), a (its prefix in order A, in that order)."""
     order = docs.sparkSession.sparkContext.broadcast(rarity_sketch(docs, k))
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = order.value
         for batch in batches:
-            n, key, a, b, c = [], [], [], [], []
+            n, key, a = [], [], []
             for s in _sets(batch.column(1), k):
                 m = len(s)
                 need = _need(m, num, den)
-                p = m - need + min(SHARED, need)
-                r = rarity[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32)
+                most = max(SHARED, _class_shared(_classes(m, num, den)[-1])) if m > TINY else SHARED
+                r = _rank_a(s, rarity)
+                x = _prefix(r, s, m - need + min(most, need))
                 n.append(m)
-                key.append(int((mix(s, 11).sum() ^ mix(np.array([m], np.uint64), 5)[0]).astype(np.int64)))
-                a.append(_prefix(r | (mix(s, 1) >> np.uint64(32)), s, p).astype(np.int64))
-                b.append(np.sort(_prefix(mix(s, 2), s, p).astype(np.uint32)).tobytes())
-                c.append(np.sort(_prefix(r | (mix(s, 3) >> np.uint64(32)), s, p).astype(np.uint32)).tobytes())
-            yield pa.record_batch({
-                "doc_id": batch.column(0).cast(pa.int64()),
-                "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64()),
-                "a": pa.array(a, pa.list_(pa.int64())), "b": pa.array(b, pa.binary()), "c": pa.array(c, pa.binary()),
-            })
+                key.append(_set_key(s))
+                a.append(x[np.lexsort((x, _rank_a(x, rarity)))].astype(np.int64))
+            yield pa.record_batch({"doc_id": batch.column(0).cast(pa.int64()), "n": pa.array(n, pa.int64()), "key": pa.array(key, pa.int64()), "a": pa.array(a, pa.list_(pa.int64()))})
+
+    return docs.select("doc_id", "text").mapInArrow(features, "doc_id long, n long, key long, a array<long>")
+
 
-    return docs.select("doc_id", "text").mapInArrow(features, "doc_id long, n long, key long, a array<long>, b binary, c binary")
+def _rank_a(s: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    return rarity[(s & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | (mix(s, 1) >> np.uint64(32))
 
 
-def _pairs(df: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (k1, n1, k2, n2) of unequal sets whose sizes allow a link, the smaller key first."""
-    df = df.where((F.col("k1") != F.col("k2")) & (F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num))
+def _set_key(s: np.ndarray) -> int:
+    return int((mix(s, 11).sum() ^ mix(np.array([len(s)], np.uint64), 5)[0]).astype(np.int64))
+
+
+def index_keys(owners: DataFrame, num: int, den: int) -> DataFrame:
+    """(t, k, n, v): index keys t of each set k, with v private tokens before them."""
+    tokens = owners.select(F.col("key").alias("k"), F.col("n").cast("int").alias("n"), F.posexplode("a").alias("pos", "t"))
+    shared = tokens.select("t").groupBy("t").agg(F.count("*").alias("size")).where("size > 1").select("t")
+    shared = tokens.join(shared, "t").groupBy("k", "n").agg(F.sort_array(F.collect_list(F.struct("pos", "t"))).alias("p"))
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, int, int, np.ndarray]] = []
+            flat = batch.column(2).flatten()
+            pos, tok = flat.field(0).to_numpy().astype(np.int64), flat.field(1).to_numpy().view(np.uint64)
+            off = batch.column(2).offsets.to_numpy() - batch.column(2).offsets[0].as_py()
+            for i, (k, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+                t, v = tok[off[i] : off[i + 1]], pos[off[i] : off[i + 1]] - np.arange(off[i + 1] - off[i])
+                if n <= -(-TINY * den // num):
+                    out.append((mix(t, 17), k, n, v))
+                if n > TINY:
+                    for c in _classes(n, num, den):
+                        g = _class_shared(c) - 1
+                        group = (mix(t, 19) % np.uint64(g)).astype(np.int64)
+                        by = np.argsort(group, kind="stable")
+                        cut = np.flatnonzero(np.diff(group[by])) + 1
+                        for members in np.split(by, cut):
+                            if len(members) > 1:
+                                x, y = np.triu_indices(len(members), 1)
+                                x, y = members[x], members[y]
+                                out.append((mix(mix(t[x], 23) + t[y] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(c), 29), k, n, v[y]))
+            if out:
+                size = [len(o[0]) for o in out]
+                yield pa.record_batch({
+                    "t": pa.array(np.concatenate([o[0] for o in out]).view(np.int64)), "k": pa.array(np.repeat([o[1] for o in out], size)),
+                    "n": pa.array(np.repeat([o[2] for o in out], size), pa.int32()), "v": pa.array(np.concatenate([o[3] for o in out]), pa.int32()),
+                })
+
+    return shared.select("k", "n", "p").mapInArrow(keys, "t long, k long, n int, v int")
+
+
+def _possible(num: int, den: int, n1: str, v1: str, n2: str, v2: str) -> Column:
+    """Whether sizes and private tokens allow a link: with d = |x - y| + |y - x|, |x - y| = (d + n1 - n2) / 2 and d <= (n1 + n2)(den - num) / (den + num)."""
+    a, b = F.col(n1).cast("long"), F.col(n2).cast("long")
+    most = (a + b) * (den - num)
+    return (
+        (F.least(a, b) * den >= F.greatest(a, b) * num)
+        & ((2 * F.col(v1) - a + b) * (den + num) <= most)
+        & ((2 * F.col(v2) - b + a) * (den + num) <= most)
+    )
+
+
+def _ordered(df: DataFrame) -> DataFrame:
+    """Pairs (k1, n1, k2, n2), the smaller key first, once each."""
     swap = F.col("k1") > F.col("k2")
-    return df.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("k1", "k2"), ("n1", "n2"), ("k2", "k1"), ("n2", "n1"))))
+    return df.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("k1", "k2"), ("n1", "n2"), ("k2", "k1"), ("n2", "n1")))).distinct()
 
 
 class _Verifier:
     """Order filters B and C, then the exact test on full sets."""
 
-    def __init__(self, sets: DataFrame, signatures: DataFrame, num: int, den: int):
-        self.sets, self.signatures, self.num, self.den = sets, signatures, num, den
+    def __init__(self, sets: DataFrame, num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
 
     def links(self, pairs: DataFrame) -> DataFrame:
         num, den = self.num, self.den
@@ -141,7 +211,7 @@ class _Verifier:
             out = np.zeros(len(n1), bool)
             for i, (m, n, *sig) in enumerate(zip(n1, n2, b1, b2, c1, c2)):
                 l = min(SHARED, _need(m, num, den), _need(n, num, den))
-                x = [np.frombuffer(s, np.uint32) for s in sig]
+                x = [np.frombuffer(s, np.uint64) for s in sig]
                 out[i] = len(np.intersect1d(x[0], x[1])) >= l and len(np.intersect1d(x[2], x[3])) >= l
             return pd.Series(out)
 
@@ -154,7 +224,7 @@ class _Verifier:
                 out[i] = both > 0 and den * both >= num * (len(x) + len(y) - both)
             return pd.Series(out)
 
-        sig, sets = self.signatures, self.sets
+        sig, sets = self.sets, self.sets
         near = (
             pairs.join(sig.select(F.col("key").alias("k1"), F.col("b").alias("b1"), F.col("c").alias("c1")), "k1")
             .join(sig.select(F.col("key").alias("k2"), F.col("b").alias("b2"), F.col("c").alias("c2")), "k2")
@@ -186,45 +256,42 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     full = feats.where("n > 0 and doc_id is not null")
     reps = materialize(full.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "sets")
 
-    # One row per distinct set: the signatures of its representative.
+    # One row per distinct set: the prefix of its representative.
     owners = full.join(reps.select("key", F.col("rep").alias("doc_id")), ["key", "doc_id"], "left_semi")
-    index = owners.select(F.col("key").alias("k"), "n", F.explode("a").alias("t")).distinct()
-    index = materialize(index, "index")
-    lists = index.groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
-    lists = materialize(index.join(lists, "t"), "lists")
-
-    small = lists.where(F.col("size") <= SMALL)
-    x, y = small.select("t", F.col("k").alias("k1"), F.col("n").alias("n1")), small.select("t", F.col("k").alias("k2"), F.col("n").alias("n2"))
-    pairs = x.join(y, "t").where("k1 < k2").where(F.least("n1", "n2") * den >= F.greatest("n1", "n2") * num)
-    need = F.least(F.lit(SHARED), F.ceil(F.col("n1") * num / den), F.ceil(F.col("n2") * num / den))
-    # A pair that also meets in a long list is decided there, so its count here may be short.
-    pairs = pairs.groupBy("k1", "n1", "k2", "n2").agg(F.count("*").alias("shared")).where(F.col("shared") >= need)
-    pairs = materialize(pairs.select("k1", "n1", "k2", "n2"), "pairs")
-
-    long = lists.where(F.col("size") > SMALL).select("t", "k", "n")
-    some = materialize(pairs.select(F.col("k1").alias("key")).union(pairs.select("k2")).union(long.select("k")).distinct(), "wanted")
-    wanted = owners.join(some, "key", "left_semi").dropDuplicates(["key"])
-    signatures = materialize(wanted.select("key", "doc_id", "b", "c"), "signatures")
-    sets = _full_sets(docs, signatures, k)
-    verifier = _Verifier(sets, signatures, num, den)
+    keys = materialize(index_keys(owners, num, den), "keys")
+    lists = keys.select("t").groupBy("t").agg(F.count("*").alias("size")).where("size > 1")
+    lists = materialize(keys.join(lists, "t"), "lists")
+
+    def side(df: DataFrame, i: int, *more: str) -> DataFrame:
+        return df.select("t", *(F.col(c).alias(f"{c}{i}") for c in ("k", "n", "v", *more)))
+
+    possible = _possible(num, den, "n1", "v1", "n2", "v2")
+    small, long = lists.where(F.col("size") <= SMALL), lists.where(F.col("size") > SMALL).select("t", "k", "n", "v")
+    pairs = _ordered(side(small, 1).join(side(small, 2), "t").where("k1 < k2").where(possible))
+    pairs = materialize(pairs, "pairs")
+    sets = _full_sets(docs, reps, materialize(pairs.select(F.col("k1").alias("key")).union(pairs.select("k2")).union(long.select("k")).distinct(), "wanted"), k, num, den)
+    verifier = _Verifier(sets, num, den)
     links = materialize(verifier.links(pairs), "links")
 
-    for turn in range(PIVOTS + 1):
-        comp = components(links)
-        open_ = long.join(comp.select(F.col("id").alias("k"), "component"), "k", "left").select("t", "k", "n", F.coalesce("component", "k").alias("comp"))
-        mixed = open_.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("k", "n", "comp"), F.xxhash64("k", F.lit(turn))).alias("pivot")).where("lo <> hi")
-        long = materialize(open_.join(mixed.select("t", "pivot"), "t"), "open")
+    # Pivots first: of the whole list, then of what the first one did not link.
+    for turn in ("pivot", "second pivot", "rest"):
         if long.limit(1).count() == 0:
             break
-        if turn < PIVOTS:
-            found = long.where("comp <> pivot.comp").select(F.col("pivot.k").alias("k1"), F.col("pivot.n").alias("n1"), F.col("k").alias("k2"), F.col("n").alias("n2"))
+        comp = components(links)
+        open_ = long.join(comp.select(F.col("id").alias("k"), "component"), "k", "left").select("t", "k", "n", "v", F.coalesce("component", "k").alias("c"))
+        pivot = F.min_by(F.struct("k", "n", "v", "c"), F.struct("v", "k"))
+        mixed = open_.groupBy("t").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), pivot.alias("pivot")).where("lo <> hi")
+        long = materialize(open_.join(mixed.select("t", "pivot"), "t"), "open")
+        against = lambda df: df.where("c <> pivot.c").select(*(F.col(c).alias(f"{c}1") for c in ("k", "n", "v")), *(F.col(f"pivot.{c}").alias(f"{c}2") for c in ("k", "n", "v")))
+        if turn == "pivot":
+            found = against(long)
+        elif turn == "second pivot":
+            other = long.where("c <> pivot.c").drop("pivot")
+            found = against(other.join(other.groupBy("t").agg(pivot.alias("pivot")), "t"))
         else:
-            x = long.select("t", F.col("k").alias("k1"), F.col("n").alias("n1"), F.col("comp").alias("c1"))
-            y = long.select("t", F.col("k").alias("k2"), F.col("n").alias("n2"), F.col("comp").alias("c2"))
-            found = x.join(y, "t").where("k1 < k2 and c1 <> c2")
-        found = _pairs(found, num, den).distinct()
-        links = materialize(links.union(verifier.links(found)), "links")
-        long = long.select("t", "k", "n")
+            found = side(long, 1, "c").join(side(long, 2, "c"), "t").where("k1 < k2 and c1 <> c2")
+        links = materialize(links.union(verifier.links(_ordered(found.where(possible)))), "links")
+        long = long.select("t", "k", "n", "v")
     comp = components(links)
 
     # From components of sets to components of documents: the smallest doc_id of all its sets.
@@ -235,16 +302,21 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(key, s) with the sorted shingles of each wanted set, from its representative's text."""
+def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """(key, s, b, c) of each wanted set, from its representative's text: its sorted shingles and its prefixes in orders B and C."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(_sets(batch.column(0), k))
-            key = [int((mix(s, 11).sum() ^ mix(np.array([len(s)], np.uint64), 5)[0]).astype(np.int64)) for s in found]
-            yield pa.record_batch({"key": pa.array(key, pa.int64()), "s": pa.array([s.tobytes() for s in found], pa.binary())})
+            size = [len(s) - _need(len(s), num, den) + min(SHARED, _need(len(s), num, den)) for s in found]
+            order = lambda seed: [np.sort(_prefix(mix(s, seed), s, p)).tobytes() for s, p in zip(found, size)]
+            yield pa.record_batch({
+                "key": pa.array([_set_key(s) for s in found], pa.int64()), "s": pa.array([s.tobytes() for s in found], pa.binary()),
+                "b": pa.array(order(2), pa.binary()), "c": pa.array(order(3), pa.binary()),
+            })
 
-    texts = docs.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
-    found = texts.select("text").mapInArrow(read, "key long, s binary")
+    ids = reps.join(wanted, "key", "left_semi").select(F.col("rep").alias("doc_id"), "key")
+    texts = docs.select("doc_id", "text").join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+    found = texts.select("text").mapInArrow(read, "key long, s binary, b binary, c binary")
     # doc_ids that repeat with other texts bring sets that nobody asked for.
-    return materialize(found.join(wanted.select("key"), "key", "left_semi").dropDuplicates(["key"]), "full")
+    return materialize(found.join(wanted, "key", "left_semi").dropDuplicates(["key"]), "full")
