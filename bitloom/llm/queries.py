@@ -97,5 +97,60 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_quote_linking, op2_license_scan, op3_source_mix, op4_byte_bpe, op5_token_counts, op6_toxic_segments, op7_simhash, op8_embedding_near_dedup, op9_ngram_jaccard_join, op10_secret_scan)}
 
 
+def _share_sql(name: str, source: str, parent: str, keys: str, order: str) -> str:
+    """CTEs that grant each row of source(keys, cap, w, budget) its share among the rows of its parent, full ones first."""
+    part = f"PARTITION BY {parent}" if parent else ""
+    return f"""{name}_a AS (SELECT *, CASE WHEN w > 0 THEN cap::DOUBLE / w::DOUBLE ELSE 'inf'::DOUBLE END AS fill FROM {source}),
+{name}_b AS (SELECT *, w > 0 AND cap * (sum(w) OVER ({part}) - coalesce(sum(w) OVER ({part} ORDER BY fill, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) <= (budget - coalesce(sum(cap) OVER ({part} ORDER BY fill, {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w AS is_full FROM {name}_a),
+{name}_c AS (SELECT *, budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({part}), 0) AS open_b, coalesce(sum(CASE WHEN NOT is_full THEN w END) OVER ({part}), 0) AS open_w FROM {name}_b),
+{name} AS (SELECT {keys}, CASE WHEN is_full THEN cap WHEN w <= 0 THEN 0 ELSE least(cap, greatest((open_b * w) // open_w, 0)) END AS granted FROM {name}_c)"""
+
+
+def _mix_sql(share: tuple[int, int] = (3, 4), epochs: int = 2, seed: int = 42) -> str:
+    weight = lambda level: "CASE " + level + " " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END" if WEIGHTS.get(level) else "1"
+    leaf = "domain, lang, source"
+    return f"""WITH base AS (SELECT doc_id, coalesce('d' || (try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS INTEGER) % 4)::VARCHAR, 'other') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  coalesce(len(regexp_extract_all(text, '[^ \\t\\n\\x0B\\f\\r]+')), 0)::BIGINT AS tokens FROM documents),
+leaves AS (SELECT {leaf}, sum(tokens)::HUGEINT AS supply, sum(tokens)::HUGEINT * {epochs} AS cap, 1 AS w, {weight("lang")} AS wl, {weight("domain")} AS wd FROM base GROUP BY {leaf}),
+dom AS (SELECT domain, sum(cap)::HUGEINT AS cap, max(wd) AS w, (SELECT sum(supply)::HUGEINT FROM leaves) * {share[0]} // {share[1]} AS budget FROM leaves GROUP BY domain),
+{_share_sql("gd", "dom", "", "domain", "domain")},
+lan AS (SELECT l.domain, l.lang, sum(l.cap)::HUGEINT AS cap, max(l.wl) AS w, max(g.granted)::HUGEINT AS budget FROM leaves l JOIN gd g ON l.domain = g.domain GROUP BY l.domain, l.lang),
+{_share_sql("gl", "lan", "domain", "domain, lang", "domain, lang")},
+src AS (SELECT l.domain, l.lang, l.source, l.supply, l.cap, l.w, g.granted AS budget FROM leaves l JOIN gl g ON l.domain = g.domain AND l.lang = g.lang),
+{_share_sql("gs", "src", "domain, lang", "domain, lang, source, supply", "domain, lang, source")},
+plan AS (SELECT domain, lang, source, CASE WHEN supply > 0 THEN granted // supply ELSE 0 END AS epochs, CASE WHEN supply > 0 THEN granted % supply ELSE 0 END AS rest FROM gs),
+keyed AS (SELECT b.*, p.epochs, p.rest, md5('{seed}:' || (p.epochs + 1)::BIGINT::VARCHAR || ':' || coalesce(b.doc_id::VARCHAR, 'null')) AS h FROM base b JOIN plan p ON b.domain = p.domain AND b.lang = p.lang AND b.source = p.source),
+placed AS (SELECT *, sum(tokens) OVER (PARTITION BY {leaf} ORDER BY h) - sum(tokens) OVER (PARTITION BY {leaf}, h) AS start FROM keyed),
+taken AS (SELECT *, greatest(0, least(tokens, rest - start)) AS part FROM placed)
+SELECT doc_id, {leaf}, tokens, (epochs + CASE WHEN part > 0 THEN 1 ELSE 0 END)::BIGINT AS copies, (epochs * tokens + part)::BIGINT AS take_tokens FROM taken"""
+
+
+_REACH = """reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, e.b FROM reach r JOIN both_ways e ON r.b = e.a),
+least_of AS (SELECT a, min(b) AS b FROM reach GROUP BY a)"""
+
+
+def _jaccard_sql(k: int = 3, num: int = 90, den: int = 100) -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    joined = " || ' ' || ".join(f"w[i + {j}]" for j in range(k))
+    return f"""WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+sets AS (SELECT DISTINCT doc_id, {joined} AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM split WHERE len(w) >= {k}) UNION SELECT doc_id, array_to_string(w, ' ') FROM split WHERE len(w) BETWEEN 1 AND {k - 1}),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM sets x JOIN sets y ON x.s = y.s AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM common JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE {den} * m >= {num} * (p.n + q.n - m)),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+{_REACH}
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least(d.doc_id, coalesce(r.b, d.doc_id)) AS component_id FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least_of r ON r.a = d.doc_id"""
+
+
+def _cosine_sql(num: float = 0.98) -> str:
+    return f"""WITH RECURSIVE fine AS (SELECT vec_id, label, v, sqrt(list_inner_product(v, v)) AS l FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL)),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM fine x JOIN fine y ON x.label = y.label AND x.vec_id < y.vec_id WHERE list_inner_product(x.v, y.v) / (x.l * y.l) >= {num}::DOUBLE),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+counts AS (SELECT a, count(*) AS n FROM both_ways GROUP BY a),
+{_REACH}
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM (SELECT e.vec_id, c.n, least(e.vec_id, coalesce(r.b, e.vec_id)) AS component_id FROM embeddings e LEFT JOIN counts c ON c.a = e.vec_id LEFT JOIN least_of r ON r.a = e.vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL where it can express a query on whole tables; the others are held against brute force in tests/llm."""
+    return {"op3_source_mix": _mix_sql(), "op8_embedding_near_dedup": _cosine_sql(), "op9_ngram_jaccard_join": _jaccard_sql()}
