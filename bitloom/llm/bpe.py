@@ -101,34 +101,36 @@ def fold_merges(word: Column, ranks: dict[bytes, int]) -> Column:
         maps[zlib.crc32(k) % BUCKETS][k.hex().upper()] = v
     table = F.from_json(F.lit(json.dumps(maps)), "array<map<string,int>>")
     none = F.array().cast("array<int>")
-
-    def rank(piece: Column) -> Column:
-        found = F.try_element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), F.hex(piece))
-        return F.coalesce(found, F.lit(NO_RANK))
-
     b = F.encode(word, "UTF-8")
     n = F.octet_length(b)
-    pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(b, i, F.lit(1)))
-    pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(b, i, F.lit(2))))).otherwise(none)
 
-    def merged(s: Column) -> Column:
-        i, p, r, new = s["i"], s["p"], s["r"], s["new"]
-        left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(none)
-        right = F.when(i < F.size(r), F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(none)
-        return F.struct(
-            F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
-            F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r))).alias("r"),
-        )
+    def ids(table: Column) -> Column:
+        def rank(piece: Column) -> Column:
+            found = F.try_element_at(F.get(table, (F.crc32(piece) % BUCKETS).cast("int")), F.hex(piece))
+            return F.coalesce(found, F.lit(NO_RANK))
+
+        def merged(s: Column) -> Column:
+            i, p, r, new = s["i"], s["p"], s["r"], s["new"]
+            left = F.when(i > 1, F.array(rank(F.concat(F.get(p, i - 2), new)))).otherwise(none)
+            right = F.when(i < F.size(r), F.array(rank(F.concat(new, F.get(p, i + 1))))).otherwise(none)
+            return F.struct(
+                F.concat(F.slice(p, F.lit(1), i - 1), F.array(new), F.slice(p, i + 2, F.size(p))).alias("p"),
+                F.concat(F.slice(r, F.lit(1), F.greatest(i - 2, F.lit(0))), left, right, F.slice(r, i + 2, F.size(r))).alias("r"),
+            )
+
+        def step(s: Column, _: Column) -> Column:
+            least = F.array_min(s["r"])
+            i = F.array_position(s["r"], least).cast("int")
+            at = F.struct(i.alias("i"), s["p"].alias("p"), s["r"].alias("r"), F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)).alias("new"))
+            return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, s).otherwise(F.get(F.transform(F.array(at), merged), F.lit(0)))
 
-    def step(s: Column, _: Column) -> Column:
-        least = F.array_min(s["r"])
-        i = F.array_position(s["r"], least).cast("int")
-        at = F.struct(i.alias("i"), s["p"].alias("p"), s["r"].alias("r"), F.concat(F.get(s["p"], i - 1), F.get(s["p"], i)).alias("new"))
-        return F.when(F.coalesce(least, F.lit(NO_RANK)) == NO_RANK, s).otherwise(F.get(F.transform(F.array(at), merged), F.lit(0)))
+        pieces = F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(b, i, F.lit(1)))
+        pairs = F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: rank(F.substring(b, i, F.lit(2))))).otherwise(none)
+        folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(pieces.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], rank))
+        return F.when(rank(b) != NO_RANK, F.array(rank(b))).otherwise(folded)
 
-    whole = rank(b)
-    folded = F.aggregate(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), F.struct(pieces.alias("p"), pairs.alias("r")), step, lambda s: F.transform(s["p"], rank))
-    return F.when(whole != NO_RANK, F.array(whole)).otherwise(folded)
+    # The literal is bound once, as the variable of a one-element transform.
+    return F.get(F.transform(F.array(table), ids), F.lit(0))
 
 
 def word_table(docs: DataFrame, tokenizer: Tokenizer, max_words: int = MAX_WORDS) -> dict[str, bytes]:
@@ -145,8 +147,19 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, max_words: int = MAX_WORDS
     if floor is None:
         return {}
     few = counts.where(F.col("bin") >= floor).select("w").repartition(64)
-    rows = few.select("w", fold_merges(F.col("w"), tokenizer.ranks).alias("ids")).collect()
-    return {r.w: np.array(r.ids, "<u4").tobytes() for r in rows}
+    # The rank map's literal would fill descriptions of this plan, which the driver keeps.
+    spark, limit = docs.sparkSession, "spark.sql.maxPlanStringLength"
+    held_limit = spark.conf.get(limit)
+    spark.conf.set(limit, "4096")
+    try:
+        found = few.select("w", fold_merges(F.col("w"), tokenizer.ranks).alias("ids")).toArrow()
+    finally:
+        spark.conf.set(limit, held_limit)
+    ids, ends = found["ids"].combine_chunks(), found["w"].to_pylist()
+    if isinstance(ids, pa.ChunkedArray):
+        ids = pa.concat_arrays(ids.chunks)
+    data, off = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    return {w: data[off[i] : off[i + 1]].tobytes() for i, w in enumerate(ends)}
 
 
 class _Words(dict):
