@@ -43,7 +43,7 @@ SLOTS, BLOCK = 1 << 20, 1 << 12
 #: Shared prefix tokens that a pair needs: of single-token keys, of token pairs at least; largest set that has no token pairs.
 SHARED, PAIRED, TINY = 3, 12, 24
 #: Longest list that is enumerated at once.
-SMALL = 32
+SMALL = 8
 
 _CLASSES = byte_classes(SEPARATORS)
 
@@ -299,7 +299,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least, "component").select("key", "component_id"), "named")
     out = feats.select("doc_id", "n", "key").join(named, "key", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def _full_sets(docs: DataFrame, reps: DataFrame, wanted: DataFrame, k: int, num: int, den: int) -> DataFrame:
