@@ -27,15 +27,13 @@ def words_of(n_bits: int) -> int:
 
 
 def pack(h: Column, n_bits: int) -> Column:
-    """array<boolean> to array<long>."""
-    out = []
-    for w in range(words_of(n_bits)):
-        terms = [F.when(F.get(h, F.lit(i)), F.lit(signed(1 << (i - w * WORD)))).otherwise(F.lit(0)).cast("long") for i in range(w * WORD, min(n_bits, (w + 1) * WORD))]
-        # A balanced tree keeps the expression shallow.
-        while len(terms) > 1:
-            terms = [terms[i].bitwiseOR(terms[i + 1]) if i + 1 < len(terms) else terms[i] for i in range(0, len(terms), 2)]
-        out.append(terms[0])
-    return F.array(*out)
+    """array<boolean> to array<long>. A fold, as an expression for each bit would outgrow a generated method."""
+    return F.array(*(_pack_word(h, at, min(n_bits - at, WORD)) for at in range(0, n_bits, WORD)))
+
+
+def _pack_word(h: Column, at: int, size: int) -> Column:
+    powers, zero = F.array(*(F.lit(signed(1 << i)).cast("long") for i in range(size))), F.lit(0).cast("long")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), zero, lambda acc, i: acc.bitwiseOR(F.when(F.get(h, i + at), F.get(powers, i)).otherwise(zero)))
 
 
 def bit_string(h: Column) -> Column:

@@ -90,7 +90,7 @@ def one_distance(name: str) -> Callable:
 
 def distance_table(spark: SparkSession, sf: str, weights: dict | None = None) -> tuple[DataFrame, DataFrame]:
     """(hashes, distances) of the evaluation; hashes are written once and read by all that follows."""
-    h = materialize(hash_table(spark, sf, EVAL_TRANSFORMS), "hashes")
+    h = H.drop_bad_files(materialize(H.hash_variants(T.variants(images(spark, sf), [GRID[t] for t in EVAL_TRANSFORMS]), ALGOS), "hashes"))
     return h, P.distances(h, make_metrics(EVAL_METRICS), BITS, weights=weights)
 
 
