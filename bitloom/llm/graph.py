@@ -7,25 +7,29 @@ from pyspark.sql import DataFrame, functions as F
 from bitloom.session import materialize
 
 
-def components(links: DataFrame, rounds: int = 200) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) for each node of links(a, b); component is the smallest reachable id.
 
-    Each round takes the smallest label among the neighbours, then follows labels twice,
-    so a long chain shrinks about fourfold a round. Rounds are written tables, the only
-    thing that reaches the driver is the number of changed rows. Null ends and loops are
-    dropped, repeated links do no harm; an empty table gives an empty result.
+    Labels are parent pointers, never above their node. Each round offers the smallest
+    grandparent among a node's neighbours to the node and to its parent, so whole trees hook
+    onto each other, and then points every node at its grandparent (FastSV). Rounds go on
+    until no label changes: then all trees are stars and no link joins two of them. Rounds
+    are written tables, the only thing that reaches the driver is whether a row changed. Null
+    ends and loops are dropped, repeated links do no harm; an empty table gives an empty result.
     """
     e = links.where("a is not null and b is not null and a <> b").select("a", "b")
     e = materialize(e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     cur = materialize(e.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
-    for _ in range(rounds):
-        near = e.join(cur.select(F.col("id").alias("a"), "component"), "a").groupBy(F.col("b").alias("id")).agg(F.min("component").alias("near"))
-        hooked = cur.join(near, "id", "left").select("id", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        jump = cur.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = hooked.join(jump, "component", "left").select("id", "old", F.coalesce("next", "component").alias("component"))
-        new = new.join(jump, "component", "left").select("id", "old", F.coalesce("next", "component").alias("component"))
-        cur = materialize(new.select("id", "component", (F.col("old") != F.col("component")).alias("changed")), "labels")
+    while True:
+        jump = cur.select(F.col("id").alias("component"), F.col("component").alias("grand"))
+        full = cur.select("id", "component").join(jump, "component").select("id", "component", "grand")
+        near = e.join(full.select(F.col("id").alias("b"), "grand"), "b").groupBy(F.col("a").alias("id")).agg(F.min("grand").alias("near"))
+        near = full.join(near, "id")
+        own = near.select("id", F.col("component").alias("old"), F.least("near", "grand").alias("to"))
+        root = near.groupBy(F.col("component").alias("id")).agg(F.min("near").alias("to"))
+        new = own.unionByName(root.withColumn("old", F.lit(None).cast(cur.schema["component"].dataType)))
+        new = new.groupBy("id").agg(F.min("old").alias("old"), F.min("to").alias("to"))
+        cur = materialize(new.select("id", F.least("old", "to").alias("component"), (F.col("to") < F.col("old")).alias("changed")), "labels")
         if cur.where("changed").limit(1).count() == 0:
             break
-        cur = cur.select("id", "component")
     return cur.select("id", "component")

@@ -323,6 +323,16 @@ def test_components(spark):
     assert {r.id: r.component for r in components(spark.createDataFrame(e, "a long, b long")).collect()} == want
 
 
+@pytest.mark.parametrize("shape", ["shuffled", "falls_to_both_ends"])
+def test_components_of_long_paths(spark, shape):
+    from bitloom.llm.graph import components
+
+    n = 1000
+    ids = np.random.default_rng(12).permutation(n).tolist() if shape == "shuffled" else [*range(0, n, 2), *range(n - 1, 0, -2)]
+    got = components(spark.createDataFrame(list(itertools.pairwise(ids)), "a long, b long")).collect()
+    assert len(got) == len(set(ids)) == n and {r.component for r in got} == {min(ids)}
+
+
 def test_pipeline_runs_each_stage(spark, tmp_path):
     import corpus_pipeline as P
 
