@@ -58,11 +58,14 @@ class Templates:
     bands: list[dict[int, list[int]]]
     every: np.ndarray
     low: np.ndarray
+    places: list[list[list[int]]]  # of each shingle of sets, where it stands in the template
 
     @staticmethod
     def build(texts: dict[str, str]) -> "Templates":
         names = sorted(texts)
-        sets = [np.unique(s) for s, _, _ in _read(pa.array([texts[n] for n in names]))]
+        order = [s for s, _, _ in _read(pa.array([texts[n] for n in names], pa.string()))]
+        sets = [np.unique(s) for s in order]
+        places = [[np.flatnonzero(s == x).tolist() for x in u] for s, u in zip(order, sets)]
         bands: list[dict[int, list[int]]] = [defaultdict(list) for _ in range(BANDS)]
         for i, s in enumerate(sets):
             if len(s):
@@ -71,7 +74,7 @@ class Templates:
         every = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))
         low = np.zeros(1 << 16, bool)
         low[(every & np.uint64(0xFFFF)).astype(np.int64)] = True
-        return Templates(names, sets, [dict(b) for b in bands], every, low)
+        return Templates(names, sets, [dict(b) for b in bands], every, low, places)
 
     def scan(self, s: np.ndarray) -> list[tuple[int, int, int, float]]:
         """(template, first shingle, last shingle, containment) of all matches, those of one template not overlapping."""
@@ -79,7 +82,7 @@ class Templates:
         at = at[np.isin(s[at], self.every)]
         if not len(at):
             return []
-        found = []
+        near: set[int] = set()
         for size in sorted({1 << max(len(x) - 1, 0).bit_length() for x in self.sets if len(x)}):
             windows = np.unique(np.concatenate([at // size, np.maximum(at // size - 1, 0)]))
             for w in windows.tolist():
@@ -88,17 +91,50 @@ class Templates:
                 for table, v in zip(self.bands, _signature(part).tolist()):
                     hit.update(table.get(v, ()))
                 for t in hit:
-                    if 1 << max(len(self.sets[t]) - 1, 0).bit_length() != size:
-                        continue
-                    inside = np.flatnonzero(np.isin(part, self.sets[t]))
-                    share = len(np.unique(part[inside])) / len(self.sets[t])
-                    if share >= CONTAINED:
-                        found.append((t, w * size + int(inside[0]), w * size + int(inside[-1]), share))
-        out: list[tuple[int, int, int, float]] = []
-        for m in sorted(found, key=lambda m: (-m[3], m[2] - m[1], m[1], m[0])):
-            if not any(o[0] == m[0] and o[1] <= m[2] and m[1] <= o[2] for o in out):
-                out.append(m)
-        return sorted(out, key=lambda m: (m[1], m[2], m[0]))
+                    if 1 << max(len(self.sets[t]) - 1, 0).bit_length() == size:
+                        near.add(t)
+        found = [(t, *m) for t in near for m in self._occurrences(t, s[at], at)]
+        return sorted(found, key=lambda m: (m[1], m[2], m[0]))
+
+    def _occurrences(self, t: int, s: np.ndarray, at: np.ndarray) -> list[tuple[int, int, float]]:
+        """(first, last, containment) of each copy of one template; s are the template shingles of a text, at their places.
+
+        A copy grows from a stretch that holds enough of the template and none shorter inside,
+        the shortest ones first, over the hits beside it that go on in the template's order.
+        """
+        ids = np.searchsorted(self.sets[t], s)
+        mine = self.sets[t][np.minimum(ids, len(self.sets[t]) - 1)] == s
+        hit, at = ids[mine].tolist(), at[mine].tolist()
+        m = len(self.sets[t])
+        need, limit = next(n for n in range(1, m + 1) if n / m >= CONTAINED), 2 << max(m - 1, 0).bit_length()
+        cores, count, i = [], defaultdict(int), 0
+        for j, x in enumerate(hit):
+            count[x] += 1
+            while count[hit[i]] > 1 or len(count) > need:
+                count[hit[i]] -= 1
+                if not count[hit[i]]:
+                    del count[hit[i]]
+                i += 1
+            if len(count) == need and at[j] - at[i] < limit:
+                cores.append((at[j] - at[i], i, j))
+        used, out = np.zeros(len(hit), bool), []
+        for _, i, j in sorted(cores):
+            if used[i : j + 1].any():
+                continue
+            low, high = self.places[t][hit[i]][0], self.places[t][hit[j]][-1]
+            while j + 1 < len(hit) and not used[j + 1] and at[j + 1] - at[i] < limit:
+                after = [p for p in self.places[t][hit[j + 1]] if p > high]
+                if not after:
+                    break
+                j, high = j + 1, after[0]
+            while i and not used[i - 1] and at[j] - at[i - 1] < limit:
+                before = [p for p in self.places[t][hit[i - 1]] if p < low]
+                if not before:
+                    break
+                i, low = i - 1, before[-1]
+            used[i : j + 1] = True
+            out.append((at[i], at[j], len(set(hit[i : j + 1])) / m))
+        return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
@@ -106,8 +142,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> D
 
     A match holds 0.8 or more of the template's five-word shingles (words: letters and
     digits, A-Z lower-cased). Offsets are code points from the first word of the first
-    shared shingle to the last word of the last one, end exclusive. Matches of different
-    templates may overlap, those of one template don't.
+    shared shingle to the last word of the last one, end exclusive. Each copy of a template is
+    a match of its own, also next to another copy. Matches of different templates may
+    overlap, those of one template don't.
 
     A null, empty or short text has no match. Repeated rows repeat theirs, a null doc_id
     stays null, other columns are ignored. The templates are a bounded parameter.

@@ -155,6 +155,29 @@ def test_licenses(docs):
         assert (("MIT-text" in [t.names[x[0]] for x in t.scan(sh)])) is found
 
 
+def test_license_copies_near_each_other():
+    from bitloom.llm.licenses import TEMPLATES, Templates, _read
+    import pyarrow as pa
+
+    t = Templates.build(TEMPLATES)
+
+    def spans(body):
+        (sh, _, _), = _read(pa.array([body]))
+        return [(t.names[m[0]], m[1], m[2]) for m in t.scan(sh)]
+
+    rng = np.random.default_rng(4)
+    for name, body in TEMPLATES.items():
+        n = len(re.findall("[A-Za-z0-9]+", body))
+        for copies, gap in ((2, 0), (10, 0), (2, 37), (5, 3), (40, 1)):
+            got = spans(" ".join(x for _ in range(copies) for x in (body, text(rng, gap)) if x))
+            assert got == [(name, i * (n + gap), i * (n + gap) + n - 5) for i in range(copies)]
+    # Part of a copy beside a whole one belongs to neither side.
+    w = TEMPLATES["MIT-text"].split()
+    n, k = len(re.findall("[A-Za-z0-9]+", " ".join(w))), len(re.findall("[A-Za-z0-9]+", " ".join(w[40:])))
+    assert spans(" ".join(w[40:] + w)) == [("MIT-text", k, k + n - 5)]
+    assert spans(" ".join(w + w[:30])) == [("MIT-text", 0, n - 5)]
+
+
 def test_toxic_segments_are_maximal():
     from bitloom.llm.toxicity import segments
 
