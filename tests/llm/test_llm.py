@@ -257,6 +257,30 @@ def test_secret_network_learns(spark):
     assert not [f for f in find(text(rng, 500) + " https://example.com/a/b", m) if f[1] == "network"]
 
 
+def test_secret_windows_cover_candidates():
+    from bitloom.llm.secrets import FILTERS, LENGTH, SecretModel, encode, find, windows
+
+    rng = np.random.default_rng(13)
+    m = SecretModel()
+    m.w, m.b, m.v, m.c = rng.normal(0, 1, m.w.shape), rng.normal(0, 1, FILTERS), rng.normal(0, 1, 2 * FILTERS), 0.3
+    chars = np.array(list("abcxyzABC0189 \t=:\"/+-_.,;@é漢"))
+    for n in (1, 5, 6, 23, 24, 63, 64, 65, 300, 40_000):
+        s = "".join(rng.choice(chars, n))
+        spans = [(0, n)] + sorted(tuple(sorted(map(int, rng.choice(n + 1, 2, False)))) for _ in range(30) if n > 1)
+        for a, b in spans:
+            w = windows(a, b)
+            assert w[0][0] == a and w[-1][1] == b and all(0 < y - x <= LENGTH for x, y in w) and all(x[1] > y[0] for x, y in itertools.pairwise(w))
+        want = [max(m.probability(np.stack([encode(s, *w) for w in windows(a, b)]))) for a, b in spans]
+        assert np.allclose(m.score(s, spans), want, atol=1e-9)
+    # A network that looks for "Q7" only: seen behind character 40 and in the context after the end.
+    m = SecretModel(c=-10.0, threshold=0.5)
+    m.w[0, 0, 3] = m.w[0, 1, 4] = 1.0
+    m.b[0], m.v[0] = -1.5, 40.0
+    path = "aa1/" * 30
+    assert find(f"see {path}xxQ7xx{path} end", m) == [(4, "network", 4 + 2 * len(path) + 6)]
+    assert find(f"see {path} Q7", m) == [(4, "network", 4 + len(path))] and find(f"see {path} end", m) == []
+
+
 def test_simhash(docs):
     from bitloom.llm.simhash import edited_fingerprints, near_fingerprints
 
