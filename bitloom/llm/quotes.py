@@ -5,7 +5,8 @@ leading run, and adjacent lines of one level form a passage. Passages of level 1
 and each of their lines, are normalised (quote marks dropped, lower case, single spaces) and
 hashed; the same hashes of whole texts, paragraphs and lines without quotes name the
 earliest message of the conversation that holds them. A quote links to that message if it
-is an earlier turn: first as a whole passage, else by its lines.
+is an earlier turn: first as a whole passage, else by its lines. Texts under MIN_CHARS name
+the latest message before the quote instead, and decide only where no longer line does.
 
 A message replies to the latest message that its outermost quotes link to, else to the
 message before it. Reply order is depth first, replies of a message in the order of turns.
@@ -23,7 +24,7 @@ from bitloom.session import materialize
 _MARK = r"^(\s*>)+"
 #: Turns (and positions) in one range of a conversation, as bits.
 BIN_BITS = 8
-#: Normalised characters that a quote or an original needs to be linked.
+#: Shorter texts (normalised characters) are often said again: they link to the latest earlier message, not the earliest.
 MIN_CHARS = 8
 
 
@@ -67,13 +68,28 @@ def parse_messages(messages: DataFrame) -> DataFrame:
 
 def _hashed(df: DataFrame, text: str) -> DataFrame:
     n = normalise(F.col(text))
-    return df.where(F.length(n) >= MIN_CHARS).withColumn("hash", F.md5(n)).drop(text)
+    return df.where(F.length(n) > 0).withColumn("hash", F.md5(n)).withColumn("short", F.length(n) < MIN_CHARS).drop(text)
+
+
+def _latest(quoted: DataFrame, origins: DataFrame) -> DataFrame:
+    """quoted with origin, the largest pos of origins(conv_id, hash, pos) before the quote's; rows without one go.
+
+    Windows run in ranges of positions, so a text that fills a conversation is no single task.
+    """
+    cols = quoted.columns
+    both = quoted.withColumn("at", F.lit(None).cast("int")).unionByName(origins.select("conv_id", "hash", "pos", F.col("pos").alias("at")), allowMissingColumns=True)
+    both = both.withColumn("bin", F.shiftright("pos", BIN_BITS))
+    carry = both.groupBy("conv_id", "hash", "bin").agg(F.max("at").alias("m"))
+    carry = carry.select("conv_id", "hash", "bin", F.max("m").over(Window.partitionBy("conv_id", "hash").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)).alias("carry"))
+    near = F.max("at").over(Window.partitionBy("conv_id", "hash", "bin").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1))
+    both = both.withColumn("near", near).where("at is null").join(carry, ["conv_id", "hash", "bin"])
+    return both.select(*cols, F.coalesce("near", "carry").alias("origin")).where("origin is not null")
 
 
 def link_quotes(parsed: DataFrame) -> DataFrame:
-    """(conv_id, pos, quote, level, linked): for each quoted passage the position of the earliest original, null if none.
+    """(conv_id, pos, quote, level, linked): for each quoted passage the position of its original, null if none.
 
-    The hash table has one row for each conversation and hash, whatever the number of
+    The table of longer texts has one row for each conversation and hash, whatever the number of
     messages with that text, so the join makes no more rows than there are quoted lines.
     """
     quoted = parsed.where(F.size("quotes") > 0)
@@ -83,13 +99,16 @@ def link_quotes(parsed: DataFrame) -> DataFrame:
     units = parsed.join(talks, "conv_id", "left_semi").select(
         "conv_id", "pos",
         F.explode(F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n\s*\n"), F.split("own", "\n")))).alias("unit"))
-    table = _hashed(units, "unit").groupBy("conv_id", "hash").agg(F.min("pos").alias("origin"))
+    units = _hashed(units, "unit")
+    table = units.where("not short").groupBy("conv_id", "hash").agg(F.min("pos").alias("origin"))
     parts = q.select("conv_id", "pos", "quote", F.lit(0).alias("line"), F.col("text").alias("unit")).union(
         q.select("conv_id", "pos", "quote", F.lit(1).alias("line"), F.explode(F.array_distinct(F.split("text", "\n"))).alias("unit")))
-    hits = _hashed(parts, "unit").join(table, ["conv_id", "hash"]).where("origin < pos")
-    # The whole passage wins, then the message with most lines, then the latest.
-    votes = hits.groupBy("conv_id", "pos", "quote", "origin").agg(F.min("line").alias("line"), F.count("*").alias("n"))
-    best = votes.groupBy("conv_id", "pos", "quote").agg(F.max(F.struct((-F.col("line")).alias("whole"), "n", "origin")).alias("b"))
+    parts = _hashed(parts, "unit")
+    hits = parts.where("not short").join(table, ["conv_id", "hash"]).where("origin < pos")
+    hits = hits.unionByName(_latest(parts.where("short"), units.where("short").select("conv_id", "hash", "pos").distinct()))
+    # The whole passage wins, then the message with most longer lines, then with most lines, then the latest.
+    votes = hits.groupBy("conv_id", "pos", "quote", "origin").agg(F.min("line").alias("line"), F.count_if(~F.col("short")).alias("long"), F.count("*").alias("n"))
+    best = votes.groupBy("conv_id", "pos", "quote").agg(F.max(F.struct((-F.col("line")).alias("whole"), "long", "n", "origin")).alias("b"))
     return q.drop("text").join(best.select("conv_id", "pos", "quote", F.col("b.origin").alias("linked")), ["conv_id", "pos", "quote"], "left")
 
 

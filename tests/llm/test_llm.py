@@ -332,6 +332,19 @@ def test_quotes(spark):
     assert len(got) == 11 and not any(">" in r.text for r in got)
 
 
+def test_short_quotes(spark):
+    from bitloom.llm.quotes import reply_conversations
+
+    rows = [(1, 0, "a", "Yes."), (1, 1, "b", "Why?"), (1, 2, "a", "Because it rained all day."), (1, 3, "b", "Yes."), (1, 4, "a", "No"), (1, 5, "b", "> Why?\nsaid before"), (1, 6, "a", "> yes.\nthe later one"),
+            (1, 7, "b", "> Because it rained all day.\n> No\nlonger lines decide"), (1, 8, "a", "> Hm\nnobody said it"), (1, 9, "b", "> \nempty")]
+    rows += [(2, i, "a", "ok" if i % 300 == 0 else f"other {i}") for i in range(700)] + [(2, 700 + i, "b", "> ok\nx") for i in range(2)] + [(2, 299, "c", "> ok\nx")]
+    got = reply_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    one = {r.turn: (r.reply_turn, r.n_linked) for r in got if r.conv_id == 1}
+    assert [one[t] for t in (5, 6, 7, 8, 9)] == [(1, 1), (3, 1), (2, 1), (7, 0), (8, 0)]
+    two = {(r.turn, r.role): (r.reply_turn, r.n_linked) for r in got if r.conv_id == 2}
+    assert two[700, "b"] == two[701, "b"] == (600, 1) and two[299, "c"] == (0, 1)
+
+
 def test_mixing(docs):
     from bitloom.llm.mixing import mix_documents
 
