@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -31,7 +33,9 @@ def ship(spark: SparkSession) -> SparkSession:
     sc = spark.sparkContext
     if getattr(sc, "_bitloom_shipped", None) is None:
         top = Path(__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp()) / "bitloom.zip"
+        folder = tempfile.mkdtemp()  # on the driver alone; executors fetch the archive from it
+        atexit.register(shutil.rmtree, folder, True)
+        archive = Path(folder) / "bitloom.zip"
         with zipfile.ZipFile(archive, "w") as z:
             for f in sorted(top.rglob("*.py")):
                 z.write(f, f.relative_to(top.parent))
@@ -58,7 +62,17 @@ def materialize(df: DataFrame, name: str = "t") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/bitloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that materialize() wrote. Whatever was computed from them must be written by now."""
+    for t in tables:
+        jvm, spark = t.sparkSession.sparkContext._jvm, t.sparkSession
+        path = jvm.org.apache.hadoop.fs.Path(t.written_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
