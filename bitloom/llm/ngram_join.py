@@ -14,7 +14,7 @@ prefix holds cannot be shared and make no keys.
 
 Candidates. Equal sets become one representative first, so copies cost nothing later. Keys
 with two members name a pair, those with up to SMALL members are enumerated (lists
-of the same members are one list). Longer lists are compared in blocks of at most 2 * BLOCK rows, in
+of the same members are one list). Longer lists are compared in blocks of at most 2 * ROWS rows, in
 matrices that never leave the task. A set carries a parity sketch: each token flips one of
 about 8 n bits, so the bits in which two sketches differ are never more than the tokens in
 which the sets do, and a pair that they rule out is no link.
@@ -52,7 +52,7 @@ SLOTS, BLOCK = 1 << 20, 1 << 12
 #: Shared prefix tokens that a pair needs: of single-token keys, of token pairs at least; largest set that has no token pairs.
 SHARED, PAIRED, TINY = 3, 12, 24
 #: Longest list that is enumerated, rows of a block of longer ones, bits of a sketch (at least and at most).
-SMALL, BLOCK, SKETCH = 8, 512, (512, 1 << 16)
+SMALL, ROWS, SKETCH = 8, 512, (512, 1 << 16)
 #: Bits of the bitmap that finds documents with candidates; more documents than that only mean that more texts are read again.
 BITMAP = 1 << 25
 
@@ -317,7 +317,7 @@ def _block_offers(rows: DataFrame, num: int, den: int, seed: int | None, every:
 
     Each row offers its closest candidate (seed: a random one), or with every all of them.
     """
-    met = rows.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
+    met = rows.withColumn("blocks", F.ceil(F.col("size") / ROWS).cast("int")).withColumn("own", F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("t", (F.least("own", "other") * F.col("blocks") + F.greatest("own", "other")).alias("pair"), "own", "k", "c", "n", "d")
     met = met.repartition("t", "pair").sortWithinPartitions("t", "pair")
@@ -328,8 +328,8 @@ def _block_offers(rows: DataFrame, num: int, den: int, seed: int | None, every:
             d = [np.frombuffer(x, np.uint64) for x in t["d"].to_pylist()]
             one = np.flatnonzero(own == own.min())
             two = np.flatnonzero(own != own.min()) if own.min() != own.max() else one
-            for i in (one[a : a + BLOCK] for a in range(0, len(one), BLOCK)):
-                for j in (two[a : a + BLOCK] for a in range(0, len(two), BLOCK)):
+            for i in (one[a : a + ROWS] for a in range(0, len(one), ROWS)):
+                for j in (two[a : a + ROWS] for a in range(0, len(two), ROWS)):
                     left = _slack([d[x] for x in i], n[i], [d[x] for x in j], n[j], num, den)
                     left[c[i][:, None] == c[j][None, :]] = -1
                     if every:
