@@ -413,6 +413,33 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i and got[i].kept for i in range(900, 906))
 
 
+def test_embeddings_of_repeated_ids(spark):
+    from bitloom.llm.itq import embedding_components
+
+    rng = np.random.default_rng(15)
+    v = rng.normal(size=16)
+    near = lambda: [float(x) for x in v + 0.01 * rng.normal(size=16)]
+    rows = [(1, near(), "a"), (1, near(), "a"), (2, near(), "a"), (2, near(), "b"), (3, [-float(x) for x in v], "a"), (3, [-float(x) for x in v], "a")]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label string")).collect())
+    assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 0, 2, True), (2, 2, 1, False), (3, 1, 3, True), (3, 1, 3, True)]
+
+
+@pytest.mark.parametrize("d", [3, 8, 16, 32, 64, 128])
+@pytest.mark.parametrize("shift", [0.0, 4.0])
+def test_embedding_tables_reach_their_recall(d, shift):
+    from bitloom.llm.itq import MAX_TABLES, learn, unit
+
+    rng = np.random.default_rng(d)
+    x = unit(rng.normal(size=(3000, d)) * np.linspace(2, 0.3, d) + shift * (np.arange(d) % 3 == 0))
+    m = learn(x, 0.98)
+    y = unit(x + rng.normal(size=x.shape) * 0.19 / np.sqrt(d))
+    linked = (x * y).sum(1) >= 0.98
+    met = (m.chunks(x) == m.chunks(y)).any(1)
+    assert linked.sum() > 500 and met[linked].mean() >= 0.99 and m.tables <= MAX_TABLES + 1
+    share = [np.mean(((x - m.mean) @ w) >= 0, axis=0) for w in m.matrices if w.any()]
+    assert abs(np.concatenate(share) - 0.5).max() < 0.25
+
+
 def test_components(spark):
     from bitloom.llm.graph import components
 
