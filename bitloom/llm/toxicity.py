@@ -11,7 +11,8 @@ all maximal segments; only positive tokens are looped over, the drift between th
 sum. Segment scores of clean documents follow an extreme-value law, P(S >= x) = 1 -
 exp(-K n exp(-lambda x)), fitted on clean labelled documents; a segment is significant where
 its E-value K n exp(-lambda S) is under E_MAX. The evidence of a document, the sum of
--log(E) over its significant segments, becomes a probability by a logistic fit.
+-log(E) over its significant segments, becomes a probability by a logistic fit. Both fits see
+each document scored by log-odds of the other FOLDS - 1 parts of the sample, never by its own.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -32,6 +34,7 @@ MAX_SAMPLE = 20_000
 #: Pseudo-documents of the Dirichlet prior, standard errors that log-odds need, drift per token, largest E-value of a passage.
 PRIOR, Z, DRIFT, E_MAX = 3.0, 3.0, 0.1, 0.05
 STEMS = (7, 6, 5, 4)
+FOLDS = 4
 
 # Words: ASCII letters and digits and all bytes of longer UTF-8 sequences.
 _CLASSES = byte_classes(b"", only=bytes([*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]))
@@ -148,12 +151,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
     labels and ids are left out, of repeated labels the largest counts. Without labels of
     both classes nothing is toxic.
     """
-    spark = tune(docs.sparkSession)
-    sample = _sampled(docs, labels, max_sample)
+    tune(docs.sparkSession)
+    sample = _sampled(docs, labels, max_sample).select("text", "toxic", F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int").alias("fold"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            toxic = batch.column(1).to_numpy(zero_copy_only=False)
+            label = 2 * batch.column(2).to_numpy() + batch.column(1).to_numpy()
             data, offsets = string_buffers(batch.column(0))
             for i, j in slices(offsets):
                 feats, _, _, first = _features(data, offsets[i : j + 1])
@@ -165,32 +168,43 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
                     for level, f in enumerate(own):
                         u, x = np.unique(f, return_index=True)
                         parent = own[level + 1][x] if level < len(STEMS) else np.zeros(len(u), np.uint64)
-                        rows.append((np.full(len(u), level), u, parent, np.full(len(u), toxic[i + d])))
+                        rows.append((np.full(len(u), level), u, parent, np.full(len(u), label[i + d])))
                 if not rows:
                     continue
                 level, u, parent, t = (np.concatenate(x) for x in zip(*rows))
                 order = np.lexsort((level, u))
                 level, u, parent, t = level[order], u[order], parent[order], t[order]
                 new = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (level[1:] != level[:-1])])[: len(u)])
-                y1 = np.add.reduceat((t == 1).astype(np.int64), new)
-                y = np.diff(np.append(new, len(u)))
-                yield pa.record_batch({"level": pa.array(level[new], pa.int32()), "h": pa.array(u[new].astype(np.int64)), "parent": pa.array(parent[new].astype(np.int64)), "y1": pa.array(y1), "y0": pa.array(y - y1)})
+                cells = {f"y{k % 2}_{k // 2}": pa.array(np.add.reduceat((t == k).astype(np.int64), new)) for k in range(2 * FOLDS)}
+                yield pa.record_batch({"level": pa.array(level[new], pa.int32()), "h": pa.array(u[new].astype(np.int64)), "parent": pa.array(parent[new].astype(np.int64)), **cells})
 
-    counts = sample.select("text", "toxic").mapInArrow(count, "level int, h long, parent long, y1 long, y0 long")
-    counts = counts.groupBy("level", "h").agg(F.min("parent").alias("parent"), F.sum("y1").alias("y1"), F.sum("y0").alias("y0"))
+    names = [f"y{k % 2}_{k // 2}" for k in range(2 * FOLDS)]
+    counts = sample.mapInArrow(count, "level int, h long, parent long, " + ", ".join(f"{c} long" for c in names))
+    counts = counts.groupBy("level", "h").agg(F.min("parent").alias("parent"), *(F.sum(c).alias(c) for c in names))
     # The largest log-odds that fewer documents could reach is under Z standard errors.
-    pdf = counts.where("y1 + y0 >= 3 and level >= 0").toPandas()
-    n1, n0 = (float(sample.where(F.col("toxic") == c).count()) for c in (1, 0))
-    model = ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
-    if not n1 or not n0 or not len(pdf):
+    pdf = counts.where(" + ".join(names) + " >= 3").toPandas()
+    size = {(r.fold, r.toxic): float(r.n) for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    every = range(FOLDS)
+    model = _log_odds(pdf, size, every)
+    if not len(model.keys):
         return model
+    _calibrate(model, [_log_odds(pdf, size, [f for f in every if f != out]) for out in every], sample)
+    return model
+
+
+def _log_odds(pdf: pd.DataFrame, size: dict[tuple[int, int], float], folds) -> ToxicityModel:
+    """Log-odds from the counts of some folds; no keys unless they hold both classes."""
+    n1, n0 = (sum(size.get((f, c), 0.0) for f in folds) for c in (1, 0))
+    if not n1 or not n0:
+        return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
     n = 2 / (1 / n1 + 1 / n0)
+    ones, zeros = (sum(pdf[f"y{c}_{f}"].to_numpy(float) for f in folds) for c in (1, 0))
     share: dict[tuple[int, int], float] = {}
-    keys, values = [], []
+    keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
     for level in range(len(STEMS), -1, -1):
-        part = pdf[pdf["level"] == level]
-        h, y1, y0 = part["h"].to_numpy(), part["y1"].to_numpy(float), part["y0"].to_numpy(float)
-        prior = np.array([share.get((level + 1, p), 0.5) for p in part["parent"].to_numpy().tolist()])
+        here = np.flatnonzero((pdf["level"].to_numpy() == level) & (ones + zeros >= 3))
+        h, y1, y0 = pdf["h"].to_numpy()[here], ones[here], zeros[here]
+        prior = np.array([share.get((level + 1, p), 0.5) for p in pdf["parent"].to_numpy()[here].tolist()])
         a, b = y1 / n1 + PRIOR * prior / n, y0 / n0 + PRIOR * (1 - prior) / n
         odds = np.log(a / b)
         error = np.sqrt(1 / (y1 + PRIOR / 2) + 1 / (y0 + PRIOR / 2))
@@ -199,26 +213,29 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
         share.update(zip(((level, x) for x in h.tolist()), np.where(told, np.clip(a / (a + b), 0.02, 0.98), 0.5).tolist()))
         keys.append(h.astype(np.int64).view(np.uint64))
         values.append(np.where(told, odds, 0.0))
-    keys, values = np.concatenate(keys), np.concatenate(values)
-    order = np.argsort(keys, kind="stable")
-    model.keys, model.values = keys[order], values[order]
-    _calibrate(model, sample)
-    return model
+    k, v = np.concatenate(keys), np.concatenate(values)
+    order = np.argsort(k, kind="stable")
+    return ToxicityModel(k[order], v[order])
 
 
-def _calibrate(model: ToxicityModel, sample: DataFrame) -> None:
-    """Fit the extreme-value law on clean documents of the sample, then the logistic on all of them."""
-    held = sample.sparkSession.sparkContext.broadcast(model)
+def _calibrate(model: ToxicityModel, others: list[ToxicityModel], sample: DataFrame) -> None:
+    """Fit the extreme-value law on clean documents of the sample, then the logistic on all of them; others[fold] has not seen that fold."""
+    held = sample.sparkSession.sparkContext.broadcast(others)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = list(held.value.documents(batch.column(0)))
-            yield pa.record_batch({"toxic": batch.column(1).cast(pa.int32()), "n": pa.array([r[0] for r in rows], pa.int64()), "best": pa.array([r[1] for r in rows], pa.float64()), "all": pa.array([[v for *_, v in r[2]] for r in rows], pa.list_(pa.float64()))})
+            fold = batch.column(2).to_numpy()
+            for f in np.unique(fold):
+                part = batch.filter(pa.array(fold == f))
+                rows = list(held.value[f].documents(part.column(0)))
+                yield pa.record_batch({"toxic": part.column(1).cast(pa.int32()), "n": pa.array([r[0] for r in rows], pa.int64()), "best": pa.array([r[1] for r in rows], pa.float64()), "all": pa.array([[v for *_, v in r[2]] for r in rows], pa.list_(pa.float64()))})
 
-    pdf = sample.select("text", "toxic").mapInArrow(measure, "toxic int, n long, best double, all array<double>").toPandas()
+    pdf = sample.mapInArrow(measure, "toxic int, n long, best double, all array<double>").toPandas()
     y = pdf["toxic"].to_numpy() == 1
     n, s = np.maximum(pdf["n"].to_numpy(float), 1), pdf["best"].to_numpy(float)
     clean_n, clean_s = n[~y], s[~y]
+    if not len(clean_n):
+        return
 
     def likelihood(rate: float) -> float:
         k = 1 / np.mean(clean_n * np.exp(-rate * clean_s))

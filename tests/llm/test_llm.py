@@ -222,6 +222,22 @@ def test_toxicity_held_out(spark):
     assert got[1000].score == got[1001].score < 0.7
     kept = keep_clean(d, m)
     assert kept.columns == d.columns and kept.count() == sum(r.score < 0.7 for r in got.values())
+    # The score by a plain loop over tokens, best segments by trying all, the same law.
+    import pyarrow as pa
+    from bitloom.llm.toxicity import DRIFT, E_MAX, _features, string_buffers
+
+    for i in [*range(0, 40), 1000]:
+        f, *_ = _features(*string_buffers(pa.array([dict(rows)[i]], pa.string())))
+        known = dict(zip(m.keys.tolist(), m.values.tolist()))
+        score = [next((known[int(h[t])] for h in f if int(h[t]) in known), 0.0) - DRIFT for t in range(len(f[0]))]
+
+        def brute(a, b):
+            best = max(((sum(score[x:y]), -x, -y) for x in range(a, b) for y in range(x + 1, b + 1)), default=(0, 0, 0))
+            return [] if best[0] <= 1e-12 else brute(a, -best[1]) + [best[0]] + brute(-best[2], b)
+
+        e = [m.k * len(score) * math.exp(-m.rate * s) for s in brute(0, len(score))]
+        z = m.slope * math.log1p(sum(-math.log(x) for x in e if x < E_MAX)) + m.offset
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
     r = next(r for r in got.values() if r.passages)
     assert all(0 <= p.start < p.end <= len(dict(rows)[r.doc_id]) for p in r.passages)
 
@@ -487,3 +503,21 @@ def test_pipeline_runs_each_stage(spark, tmp_path):
     assert not any(i % 4 == 1 for i in kept[0] if i < 200) and {0, 2, 201} <= kept[0]
     assert 0 in kept[1] and 200 not in kept[1] and kept[1] == kept[0] - {200} and kept[2] == kept[1]
     assert d.count() > 0 and math.isfinite(d.first().n_tokens)
+
+
+def test_pipeline_stages_on_empty_and_clashing_tables(spark, tmp_path):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, copies string, _copy int, component_id long, score double, tokens int, key int"
+    rows = [(1, "alpha beta gamma delta epsilon zeta password=hunter2222", "en", "src1", 5, "c", 1, 2, 0.5, 3, 4), (1, "alpha beta gamma delta epsilon zeta password=hunter2222", "en", "src1", 5, "c", 1, 2, 0.5, 3, 4),
+            (None, None, None, None, None, None, None, None, None, None, None), (2, "", "", "", 0, "", 0, 0, 0.0, 0, 0), (3, "word " * 30_000, "fr", "src2", 150_000, "d", 1, 1, 1.0, 1, 1)]
+    spark.createDataFrame([(1, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for part in (rows, []):
+        d = docs = spark.createDataFrame(part, schema)
+        for name, f in P.STAGES[:-1]:
+            before = d.count()
+            d = f(spark, d, str(tmp_path))
+            assert d.columns == docs.columns and (before == 0) == (d.count() == 0)
+        out = P.STAGES[-1][1](spark, d, str(tmp_path))
+        assert out.count() == d.count() and "n_tokens" in out.columns
+        assert {r.copies for r in d.collect()} <= {r[5] for r in rows}
