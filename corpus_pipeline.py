@@ -22,30 +22,38 @@ from bitloom.session import materialize, read_table
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores under 0.7 stay, a null or empty text and rows without an id too. Labels of the held-out third are not read."""
     labels = read_table(spark, sf_dir, "labels")
     return keep_clean(docs, fit_toxicity(docs, labels.where(~held_out())))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose doc_id isn't the smallest of their group go; rows of one doc_id stay or go together."""
+    """Rows whose doc_id isn't the smallest of their group go; rows of one doc_id stay or go together, rows without one stay."""
     groups = ngram_jaccard_components(docs, k=5, num=80, den=100)
     gone = groups.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows stay; each finding of a text is replaced by its kind, and n_chars counted anew. Null texts stay null."""
     return redact_secrets(docs, fit_secrets(docs))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes; the budget is all tokens, a source repeats at most twice."""
+    """As many copies of each row as the mix takes; the budget is all tokens, a source repeats at most twice.
+
+    Tokens are runs between white space (the next stage makes the tokenizer's). Rows of one
+    doc_id, null too, are taken as often as any of them is. Other columns may have any names.
+    """
+    key, copies, copy = (next(n for i in range(len(docs.columns) + 1) if (n := f"{name}{i}") not in docs.columns) for name in ("key", "copies", "copy"))
     mixed = mix_documents(docs, domain_of_source(), WEIGHTS, share=(1, 1), max_epochs=2)
-    copies = mixed.where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.join(copies, docs["doc_id"].eqNullSafe(copies["doc_id"])).drop(copies["doc_id"])
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy")).drop("_copy")
+    many = mixed.where("copies > 0").groupBy(F.col("doc_id").alias(key)).agg(F.max("copies").alias(copies))
+    taken = docs.join(many, F.col("doc_id").eqNullSafe(F.col(key)))
+    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias(copy)).drop(copy)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of each row; a null text is an empty one."""
     return digest_documents(docs, tokenizer())
 
 
