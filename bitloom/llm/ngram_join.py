@@ -21,7 +21,7 @@ which the sets do, and a pair that they rule out is no link.
 
 Links by rounds. Each set offers its closest candidate of another component (in later rounds
 a random one); offers are verified and components grow. So a group of near copies costs
-its size and not its square. When hardly anything merges, the candidates that still lie
+its size and not its square. When most offers of a round fail, the candidates that still lie
 between components, which are false ones but for a few, are verified one and all, so no link
 between two components is lost.
 
@@ -234,7 +234,7 @@ class _Links:
     def __init__(self, sets: DataFrame, num: int, den: int):
         self.sets, self.num, self.den = sets, num, den
         self.labels: DataFrame | None = None
-        self.tested: list[DataFrame] = []
+        self.tested: DataFrame | None = None
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The links (a, b) of pairs(k1, k2): order filters B and C on their prefixes, then the exact test on full sets."""
@@ -266,18 +266,19 @@ class _Links:
         if not n:
             discard(offers)
             return 0, 0, 0
-        if self.tested:
-            for t in self.tested:
-                fresh = fresh.join(t, ["k1", "k2"], "left_anti")
-            fresh = materialize(fresh, "fresh")
+        if self.tested is not None:
+            fresh = materialize(offers.join(self.tested, ["k1", "k2"], "left_anti"), "fresh")
             discard(offers)
-        self.tested.append(fresh)
+        last, self.tested = self.tested, materialize(fresh if self.tested is None else self.tested.union(fresh), "tested")
+        if last is not None:
+            discard(last)
         found = materialize(self.verified(fresh), "links")
         linked = found.count()
         if linked:
             self.labels = merge_components(self.labels, found)
-        discard(found)
-        return n, fresh.count(), linked
+        tried = fresh.count()
+        discard(found, fresh)
+        return n, tried, linked
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -392,7 +393,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
         discard(last)
         rows = links.close(long, "k").join(sketches, "k")
         offered, tried, linked = links.test(_ordered(offers.union(_block_offers(rows, num, den, seed, False))))
-        if 20 * linked <= tried:
+        if 2 * linked <= tried:
             break
         seed = 101 if seed is None else seed + 1
     if offered:
@@ -406,7 +407,7 @@ def ngram_jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: in
     named = reps.join(comp.select(F.col("id").alias("key"), "component"), "key", "left").select("key", "rep", F.coalesce("component", "key").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = materialize(named.join(least, "component").select("key", "component_id"), "named")
-    discard(reps, sets, small, long, *links.tested, *([links.labels] if links.labels is not None else []))
+    discard(reps, sets, small, long, *(t for t in (links.tested, links.labels) if t is not None))
     out = feats.select("doc_id", "n", "key").join(named, "key", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
