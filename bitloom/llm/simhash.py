@@ -22,8 +22,6 @@ from bitloom.session import materialize
 BITS = 128
 _LANES = 0x0000000100000001
 _LOW = 0xFFFFFFFF
-#: Documents (by id) in one bucket of neighbours, as bits, and the same for buckets in a group of buckets.
-NEAR_BITS, GROUP_BITS = 6, 12
 NULL_ID = -(2**63)
 
 
@@ -51,16 +49,15 @@ def _word(name: str) -> Column:
     return reduce(lambda x, y: x.bitwiseOR(y), bits)
 
 
-def fingerprints(rows: DataFrame, keys: list[str], text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """(keys, keep, f1, f2) for each row; keys name the row and must be unique, text must not be null.
+def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, f1, f2) for each row; keys name the row and must be unique, text must not be null.
 
-    If rows is partitioned by some of the keys no shuffle is added. An empty text has one
-    empty term, so all empty texts have the same fingerprint.
+    All keys are grouped by, so the sums are a hash aggregate; if rows is partitioned by some
+    of the keys no shuffle is added. An empty text has one empty term, so all empty texts have
+    the same fingerprint.
     """
-    keep = keep or []
-    out = rows.select(*keys, *keep, F.explode(terms(F.col(text))).alias("h"))
-    out = out.groupBy(*keys).agg(*_votes(), *(F.first(c).alias(c) for c in keep))
-    return out.select(*keys, *keep, _word("a").alias("f1"), _word("b").alias("f2"))
+    out = rows.select(*keys, F.explode(terms(F.col(text))).alias("h")).groupBy(*keys).agg(*_votes())
+    return out.select(*keys, _word("a").alias("f1"), _word("b").alias("f2"))
 
 
 def text_form(f1: str, f2: str) -> Column:
@@ -94,18 +91,22 @@ def near_fingerprints(queries: DataFrame, table: DataFrame, radius: int = 3) ->
     return pairs.where((first == F.col("block")) & (distance <= radius)).select("q1", "q2", "f1", "f2", "n", distance.alias("distance"))
 
 
-def _next_buckets(keys: DataFrame) -> DataFrame:
-    """(bucket, following): for each bucket of keys the next lower one, for the lowest the highest.
+def _followers(rows: DataFrame) -> DataFrame:
+    """rows(key, md, n, copies), distinct by (key, md), with the next row's key and md in descending key and ascending md (after the last: the first), and the previous row's n.
 
-    Buckets are ordered within groups of buckets; only groups are ordered in one task (one
-    row for 2^18 consecutive ids).
+    Rows are ordered within ranges of the order; of a range only its first and last row meet
+    those of the others, in one task with one row for each range.
     """
-    buckets = keys.select("bucket").distinct().withColumn("grp", F.shiftright("bucket", GROUP_BITS))
-    groups = buckets.groupBy("grp").agg(F.max("bucket").alias("head"))
-    every = Window.orderBy(F.desc("grp"))
-    groups = groups.select("grp", F.coalesce(F.lead("head").over(every), F.max("head").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
-    inner = buckets.withColumn("following", F.lead("bucket").over(Window.partitionBy("grp").orderBy(F.desc("bucket"))))
-    return inner.join(groups, "grp").select("bucket", F.coalesce("following", "after").alias("following"))
+    order = [F.desc("key"), F.asc("md")]
+    ranged = materialize(rows.repartitionByRange(*order).withColumn("range", F.spark_partition_id()), "ranged")
+    inside = Window.partitionBy("range").orderBy(*order)
+    one = ranged.withColumns({"nkey": F.lead("key").over(inside), "nmd": F.lead("md").over(inside), "pn": F.lag("n").over(inside), "first": F.lag("key").over(inside).isNull()})
+    ends = one.where(F.col("first") | F.col("nkey").isNull()).groupBy("range").agg(
+        F.max(F.when(F.col("first"), F.struct("key", "md"))).alias("head"), F.max(F.when(F.col("nkey").isNull(), F.col("n"))).alias("tail"))
+    every, whole = Window.orderBy("range"), Window.orderBy("range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = ends.select("range", F.coalesce(F.lead("head").over(every), F.first("head").over(whole)).alias("after"), F.coalesce(F.lag("tail").over(every), F.last("tail").over(whole)).alias("before"))
+    out = one.join(F.broadcast(ends), "range")  # one row for each partition of a shuffle
+    return out.select("key", "md", "n", "copies", F.coalesce("nkey", "after.key").alias("nkey"), F.coalesce("nmd", "after.md").alias("nmd"), F.when(F.col("first"), F.col("before")).otherwise(F.col("pn")).alias("pn"))
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -115,40 +116,43 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     all) of the next document in descending doc_id; after the last comes the first. Returns
     doc_id, n_chars, edited_sha256, f1, f2 (the text), e1, e2 (edited), x1, x2 (next document).
 
-    A null text is an empty one, a null doc_id orders last. Rows of one doc_id follow each
-    other in the order of their texts. A table of one row follows itself, an empty table
-    gives none. Other columns are ignored.
+    A null text is an empty one, a null doc_id orders last. Documents of one doc_id follow
+    each other in the order of the md5 values of their texts; rows with the same id and text
+    are one document and have equal results. A table of one document follows itself, an empty
+    table gives none. Other columns are ignored.
 
-    Texts are shuffled once, by ranges of ids; only the first text of each range is sent on.
+    Only ids, lengths and hashes are ordered, in ranges of rows whatever the ids. Texts are
+    shuffled once by (id, hash), and once more is sent what a document's predecessor takes.
     """
-    key = F.coalesce("doc_id", F.lit(NULL_ID))
-    base = docs.select("doc_id", key.alias("key"), F.shiftright(key, NEAR_BITS).alias("bucket"), F.coalesce("text", F.lit("")).alias("text"))
-    order = Window.partitionBy("bucket").orderBy(F.desc("key"), "text")
-    rows = base.withColumn("rn", F.row_number().over(order)).withColumn("after", F.lead("text").over(order))
-    following = materialize(_next_buckets(base), "buckets")
-    heads = rows.where("rn = 1").select(F.col("bucket").alias("following"), F.col("text").alias("head"))
-    heads = heads.join(following, "following").select(F.col("bucket").alias("to"), "following", "head")
-    rows = rows.join(heads, (F.col("bucket") == F.col("to")) & F.col("after").isNull(), "left")
-    n = F.char_length("text")
-    half = F.floor(n / 2).cast("int")
-    rows = rows.select(
-        "bucket", "rn", "doc_id", "text", n.cast("long").alias("n_chars"),
-        F.concat(F.substring("text", F.lit(1), n - half), F.substring(F.coalesce("after", "head"), F.lit(1), half)).alias("edited"),
-        F.coalesce("following", "bucket").alias("next_bucket"), F.when(F.col("after").isNull(), 1).otherwise(F.col("rn") + 1).alias("next_rn"),
-    )
-    both = rows.select(
-        "bucket", "rn", "doc_id", "n_chars", "next_bucket", "next_rn",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("edit"), F.col("text").alias("text"), F.lit(None).cast("string").alias("sha")),
-            F.struct(F.lit(1).alias("edit"), F.col("edited").alias("text"), F.sha2(F.col("edited").cast("binary"), 256).alias("sha")),
-        )).alias("v"),
-    ).select("bucket", "rn", "doc_id", "n_chars", "next_bucket", "next_rn", "v.edit", "v.text", "v.sha")
-    prints = fingerprints(both, ["bucket", "rn", "edit"], keep=["doc_id", "n_chars", "next_bucket", "next_rn", "sha"])
-    one = lambda c, e: F.max(F.when(F.col("edit") == e, F.col(c)))
-    prints = prints.groupBy("bucket", "rn").agg(
-        F.first("doc_id").alias("doc_id"), F.first("n_chars").alias("n_chars"), F.first("next_bucket").alias("next_bucket"), F.first("next_rn").alias("next_rn"),
-        one("sha", 1).alias("edited_sha256"), one("f1", 0).alias("f1"), one("f2", 0).alias("f2"), one("f1", 1).alias("e1"), one("f2", 1).alias("e2"),
-    )
-    prints = materialize(prints, "fingerprints")
-    after = prints.select(F.col("bucket").alias("next_bucket"), F.col("rn").alias("next_rn"), F.col("f1").alias("x1"), F.col("f2").alias("x2"))
-    return prints.join(after, ["next_bucket", "next_rn"], "left").select("doc_id", "n_chars", "edited_sha256", "f1", "f2", "e1", "e2", "x1", "x2")
+    base = docs.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("key"), F.col("doc_id").isNull().alias("none"), F.coalesce("text", F.lit("")).alias("text"))
+    base = base.select("key", "none", F.md5(F.col("text").cast("binary")).alias("md"), "text")
+    known = base.groupBy("key", "md").agg(F.max(F.char_length("text")).cast("long").alias("n"), F.count("*").alias("copies"))
+    order = materialize(_followers(known), "order")
+    rows = base.select("key", "md", "text").join(order, ["key", "md"])
+    # Rows that are no repetition pass as they are; the others are one row each before anything else is done.
+    names = ["key", "md", "n", "copies", "nkey", "nmd", "pn"]
+    again = rows.where("copies > 1").groupBy(*names).agg(F.max("text").alias("text"))
+    rows = rows.where("copies = 1").select(*names, "text").unionByName(again)
+    # Each document sends what its predecessor takes of it, to the predecessor's place.
+    before = order.select(F.col("key").alias("to"), F.col("md").alias("tomd"), F.col("nkey").alias("key"), F.col("nmd").alias("md"))
+    heads = rows.select("key", "md", F.substring("text", F.lit(1), F.floor(F.col("pn") / 2).cast("int")).alias("head")).join(before, ["key", "md"])
+    heads = heads.select(F.col("to").alias("key"), F.col("tomd").alias("md"), "head")
+    both = rows.join(heads, ["key", "md"])
+    half = F.floor(F.col("n") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), (F.col("n") - half).cast("int")), F.col("head"))
+    both = both.select("key", "md", "n", "copies", "nkey", "nmd", "text", edited.alias("edited"))
+    both = both.select("key", "md", "n", "copies", "nkey", "nmd", F.explode(F.array(
+        F.struct(F.lit("").alias("sha"), F.col("text").alias("text")),
+        F.struct(F.sha2(F.col("edited").cast("binary"), 256).alias("sha"), F.col("edited").alias("text")),
+    )).alias("v")).select("key", "md", "n", "copies", "nkey", "nmd", "v.sha", "v.text")
+    prints = fingerprints(both, ["key", "md", "n", "copies", "nkey", "nmd", "sha"])
+    own, other = (lambda c: F.max(F.when(F.col("sha") == "", F.col(c)))), (lambda c: F.max(F.when(F.col("sha") != "", F.col(c))))
+    prints = materialize(prints.groupBy("key", "md", "n", "copies", "nkey", "nmd").agg(
+        F.max("sha").alias("edited_sha256"), own("f1").alias("f1"), own("f2").alias("f2"), other("f1").alias("e1"), other("f2").alias("e2")), "fingerprints")
+    after = prints.select(F.col("key").alias("nkey"), F.col("md").alias("nmd"), F.col("f1").alias("x1"), F.col("f2").alias("x2"))
+    out = prints.join(after, ["nkey", "nmd"]).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    # A null id and the id that stands for it are told apart by the rows that have it.
+    nulls = base.where(F.col("key") == NULL_ID).groupBy("key", "md").agg(F.count_if("none").alias("nulls"))
+    out = out.join(nulls, ["key", "md"], "left")
+    doc = F.when((F.col("key") == NULL_ID) & (F.col("copy") <= F.coalesce("nulls", F.lit(0))), F.lit(None)).otherwise(F.col("key")).alias("doc_id")
+    return out.select(doc, F.col("n").alias("n_chars"), "edited_sha256", "f1", "f2", "e1", "e2", "x1", "x2")

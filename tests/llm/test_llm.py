@@ -371,13 +371,27 @@ def test_secret_candidates_leave_nothing_out():
 def test_simhash(docs):
     from bitloom.llm.simhash import edited_fingerprints, near_fingerprints
 
-    rows = sorted(((-(2**63) if i is None else i, t or "") for i, t in pairs_of(docs)), key=lambda r: (-r[0], r[1]))
-    want = []
-    for j, (i, t) in enumerate(rows):
-        nxt, half = rows[(j + 1) % len(rows)][1], len(t) // 2
-        want.append((i, len(t), hashlib.sha256((t[: len(t) - half] + nxt[:half]).encode()).hexdigest()))
+    def brute(pairs):
+        every = sorted({(-(2**63) if i is None else i, t or "") for i, t in pairs}, key=lambda r: (-r[0], hashlib.md5(r[1].encode()).hexdigest()))
+        nxt = {r: every[(j + 1) % len(every)][1] for j, r in enumerate(every)}
+        edit = lambda t, o: hashlib.sha256((t[: len(t) - len(t) // 2] + o[: len(t) // 2]).encode()).hexdigest()
+        return sorted((str(i), len(t or ""), edit(t or "", nxt[-(2**63) if i is None else i, t or ""])) for i, t in pairs)
+
     got = edited_fingerprints(docs).collect()
-    assert sorted((-(2**63) if r.doc_id is None else r.doc_id, r.n_chars, r.edited_sha256) for r in got) == sorted(want)
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got) == brute(pairs_of(docs))
+    # Ids of any distribution: sparse ones, ties, null, the one that null is ordered as.
+    rng = np.random.default_rng(17)
+    rows = [(int(i), text(rng, int(rng.integers(0, 12))), 1, 2) for i in rng.integers(-(2**63), 2**63 - 1, 300)] + [(None, "a b", 1, 2), (-(2**63), "a b", 1, 2), (None, "", 1, 2), (7, None, 1, 2), (7, "x", 1, 2), (7, "x", 1, 2)]
+    d = docs.sparkSession.createDataFrame(rows, "doc_id long, text string, key int, copies int")
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in edited_fingerprints(d).collect()) == brute([r[:2] for r in rows])
+    # Fingerprint bits by plain votes over the terms' hashes.
+    from bitloom.llm.simhash import terms
+
+    votes = docs.select("text", F.explode(terms(F.coalesce("text", F.lit("")))).alias("a")).withColumn("b", F.xxhash64("a")).groupBy("text").agg(F.collect_list("a").alias("a"), F.collect_list("b").alias("b")).collect()
+    word = lambda hs: sum(1 << i for i in range(64) if 2 * sum((h >> i) & 1 for h in hs) > len(hs))
+    want = {r.text: (word(r.a), word(r.b)) for r in votes}
+    texts = dict((i, t) for i, t in pairs_of(docs))
+    assert all((r.f1 & (2**64 - 1), r.f2 & (2**64 - 1)) == want[texts[r.doc_id]] for r in got)
     by = {r.doc_id: (r.f1, r.f2) for r in got}
     assert by[0] == by[1] == by[None] and by[3] == by[4]
     spark, rng = docs.sparkSession, np.random.default_rng(8)
