@@ -6,7 +6,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bitloom.functions import bits as B
 from bitloom.operators.transforms import SIDE
@@ -64,9 +64,13 @@ def cosine_matrix(side: int = SIDE) -> list[list[float]]:
 
 
 def perceptual_hash(px: Column, side: int = SIDE) -> Column:
-    """bit = cosine coefficient > median of the coefficients."""
-    rows = F.array(*(F.array(*(F.lit(x) for x in r)) for r in cosine_matrix(side)))
-    coef = F.transform(rows, lambda r: F.round(F.aggregate(F.zip_with(r, px, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x), DECIMALS))
+    """bit = cosine coefficient > median of the coefficients. The transform goes over rows and then over columns: 2 side^3 products."""
+    lines = F.array(*(F.array(*(F.lit(math.cos(math.pi * u * (2 * x + 1) / (2 * side))) for x in range(side))) for u in range(side)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    starts = F.array(*(F.lit(y * side + 1) for y in range(side)))
+    half = F.transform(lines, lambda r: F.transform(starts, lambda y: dot(r, F.slice(px, y, side))))  # by column frequency, then by row
+    # half is bound once, as the variable of a one-element transform.
+    coef = F.get(F.transform(F.array(half), lambda h: F.flatten(F.transform(lines, lambda r: F.transform(h, lambda c: F.round(dot(r, c), DECIMALS))))), F.lit(0))
     return _above(coef, lambda v: _median(v, side * side))
 
 
@@ -127,6 +131,27 @@ def wide(hashes: DataFrame, algorithms: Sequence[str]) -> DataFrame:
     return hashes.groupBy("file_id", "transform").pivot("algo", list(algorithms)).agg(F.first(B.bit_string(F.col("hash"))))
 
 
+def save_dims(dims: DataFrame, path: str) -> None:
+    """Write label_dims as Parquet, for decode_labels in a later session."""
+    dims.write.mode("overwrite").parquet(path)
+
+
+def load_dims(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("dim string, code int, label string").parquet(path)
+
+
+def decode_labels(df: DataFrame, dims: DataFrame, dim: str, column: str) -> DataFrame:
+    """df with the codes of column replaced by the labels of one dimension; null and unknown codes are null."""
+    known = dims.where(F.col("dim") == dim).select(F.col("code").alias(column), F.col("label").alias(f"{column}_label"))
+    out = df.join(known, column, "left")
+    return out.select(*(F.col(f"{column}_label").alias(c) if c == column else F.col(c) for c in df.columns))
+
+
+def dropped_files(images: DataFrame, hashes: DataFrame, column: str = "file_id") -> int:
+    """Number of files that hash_variants or drop_bad_files left out."""
+    return images.select(column).distinct().join(hashes.select(column).distinct(), column, "left_anti").count()
+
+
 def label_dims(hashes: DataFrame) -> DataFrame:
     """(dim, code, label): dense codes of the sorted labels of files, transforms and algorithms, and the fixed classes."""
     from pyspark.sql.window import Window

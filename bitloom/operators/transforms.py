@@ -128,11 +128,14 @@ def blend(direction: str = "Left-to-Right", static: Sequence[float] | float = 0.
 POSITIONS = ("left", "right", "top", "bottom", "topleft", "topright", "bottomleft", "bottomright")
 
 
-def composite(position: str = "left", coords: tuple[int, int] | None = None, size: tuple[int, int] | None = None, static: float = 0.5, side: int = SIDE) -> Affine:
-    """Paste a static patch of size (height, width) at a named position, or with its corner at coords (x, y)."""
+def composite(position: str = "left", coords: tuple[int, int] | None = None, size: tuple[int, int] | None = None, static: float = 0.5, scale: bool = True, side: int = SIDE) -> Affine:
+    """Paste a static patch of size (height, width) at a named position, or with its corner at coords (x, y).
+
+    Without a size it is half the grid (a quarter in corners) if scale, else all of it.
+    """
     if coords is None and position not in POSITIONS:
         raise ValueError(f"unknown position {position}")
-    half = side // 2
+    half = side // 2 if scale else side
     h, w = size or (half if position not in ("left", "right") else side, half if position not in ("top", "bottom") else side)
     x0, y0 = coords if coords is not None else (side - w if "right" in position else 0, side - h if "bottom" in position else 0)
     inside = lambda y, x: y0 <= y < y0 + h and x0 <= x < x0 + w
@@ -150,6 +153,10 @@ TRANSFORMS: dict[str, Callable[..., Affine]] = {
 }
 
 
+def register_transform(name: str, function: Callable[..., Affine]) -> None:
+    TRANSFORMS[name] = function
+
+
 def list_transforms() -> list[str]:
     return sorted([*TRANSFORMS, "TransformFromDisk"])
 

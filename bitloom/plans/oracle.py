@@ -215,7 +215,7 @@ freq AS (SELECT g.algo, g.transform, g.metric, g.quadrant, g.bit::INTEGER AS bit
         "hash_long_all": _with(hashes(W.EVAL_TRANSFORMS, W.ALGOS), "SELECT file_id, transform, algo, bits FROM hashes"),
         "hash_wide_pivot": _with(hashes(["crop"], W.ALGOS), "SELECT file_id, transform, " + ", ".join(f"max(CASE WHEN algo = '{a}' THEN bits END) AS {a}" for a in W.ALGOS) + " FROM hashes GROUP BY file_id, transform"),
         "label_dims": _with(hashes(W.EVAL_TRANSFORMS, W.ALGOS), " UNION ALL ".join(f"SELECT '{d}' AS dim, (dense_rank() OVER (ORDER BY label) - 1)::INTEGER AS code, label FROM (SELECT DISTINCT {c}::VARCHAR AS label FROM hashes)" for d, c in (("f", "file_id"), ("t", "transform"), ("a", "algo"))) + " UNION ALL SELECT 'c', 0, 'Inter (0)' UNION ALL SELECT 'c', 1, 'Intra (1)'"),
-        "transform_file_join": _with(hashes(["crop"], ["sign"]), "SELECT 'img_' || file_id || '.png' AS filename, CASE WHEN transform = 'orig' THEN 'orig' ELSE 'from_disk' END AS transform, bits FROM hashes WHERE transform = 'orig' OR file_id % 2 = 0"),
+        "transform_file_join": _with(hashes(["crop"], ["sign"]), "SELECT 'img_' || file_id || '.png' AS filename, CASE WHEN transform = 'orig' THEN 'orig' ELSE 'from_disk' END AS transform, bits FROM hashes"),
         "pairs_intra": _with(_distances(spec={"hamming": "hamming"}), "SELECT file_a, file_b, algo, class, transform, metric, round(similarity, 6) AS similarity FROM distances WHERE class = 1"),
         "pairs_inter_sampled": _with(_distances(spec={"hamming": "hamming"}), "SELECT file_a, file_b, algo, class, transform, metric, round(similarity, 6) AS similarity FROM distances WHERE class = 0"),
         "distances_union": _with(dist, "SELECT file_a, file_b, algo, class, transform, metric, round(similarity, 6) AS similarity FROM distances"),
@@ -244,7 +244,7 @@ freq AS (SELECT g.algo, g.transform, g.metric, g.quadrant, g.bit::INTEGER AS bit
         "kde_grid": _with(dist, """SELECT algo, metric, class, x, round(sum(exp(-((x - s) / bw) * ((x - s) / bw) / 2)) / (any_value(n) * any_value(bw) * 2.5066282746310002), 4) AS density FROM (SELECT algo, metric, class, round_even(similarity, 12) AS s FROM distances WHERE metric = 'hamming')
 JOIN (SELECT algo, metric, class, count(*) AS n, stddev_samp(round_even(similarity, 12)) * pow(count(*), -0.2) AS bw FROM distances WHERE metric = 'hamming' GROUP BY ALL) USING (algo, metric, class), (SELECT round(i / 20.0::DOUBLE, 4) AS x FROM range(21) r(i)) WHERE bw > 1e-12 GROUP BY algo, metric, class, x"""),
         "eer_curve": _with(curve, f"SELECT {_K}, round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(1 - tpr, 6) AS fnr FROM points WHERE threshold <> 'inf'::DOUBLE"),
-        "label_roc": _with(f"""few AS (SELECT vec_id AS file_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')::BIT AS b FROM embeddings ORDER BY md5('42:' || vec_id), vec_id LIMIT 200),
+        "label_roc": _with(f"""few AS (SELECT vec_id AS file_id, label, array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')::BIT AS b FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
 labelled AS (SELECT 'sign' AS algo, 'label' AS transform, 'hamming' AS metric, CASE WHEN x.label = y.label THEN 1 ELSE 0 END AS class, 1 - bit_count(xor(x.b, y.b)) / 64.0::DOUBLE AS similarity FROM few x JOIN few y ON x.file_id < y.file_id),
 {_curve('labelled', score='similarity')}""", f"SELECT algo, {_round(['auc', 'eer', 'eer_threshold'])} FROM aucs JOIN eers USING (algo, transform, metric)"),
     }

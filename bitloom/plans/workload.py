@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from bitloom.functions import bits as B
 from bitloom.functions.metrics import Metric, make_metrics
 from bitloom.operators import bitanalysis, evaluate, hashes as H, pairs as P, stats as S, transforms as T
-from bitloom.session import materialize, read_table
+from bitloom.session import materialize, read_table, ship
 
 BITS = 64
 #: Transforms by query name, with their parameters.
@@ -44,7 +46,9 @@ DISTANCES: dict[str, tuple[str, dict, Sequence[float] | None]] = {
 
 
 def images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("file_id"), F.transform("embedding", lambda x: x.cast("double")).alias("px"))
+    """The grids; a table of few files is dealt over all cores first, since hashing costs far more than reading."""
+    e, cores = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), spark.sparkContext.defaultParallelism
+    return (e.repartition(cores) if e.rdd.getNumPartitions() < cores else e).select(F.col("vec_id").alias("file_id"), F.transform("embedding", lambda x: x.cast("double")).alias("px"))
 
 
 def hash_table(spark: SparkSession, sf_dir: str, transforms: Sequence[str] = (), algos: Sequence[str] = ALGOS) -> DataFrame:
@@ -88,9 +92,14 @@ def one_distance(name: str) -> Callable:
     return run
 
 
+def eval_hashes(spark: SparkSession, sf: str) -> DataFrame:
+    """The hashes of the evaluation, written once and read by all that follows."""
+    return H.drop_bad_files(materialize(H.hash_variants(T.variants(images(spark, sf), [GRID[t] for t in EVAL_TRANSFORMS]), ALGOS), "hashes"))
+
+
 def distance_table(spark: SparkSession, sf: str, weights: dict | None = None) -> tuple[DataFrame, DataFrame]:
-    """(hashes, distances) of the evaluation; hashes are written once and read by all that follows."""
-    h = H.drop_bad_files(materialize(H.hash_variants(T.variants(images(spark, sf), [GRID[t] for t in EVAL_TRANSFORMS]), ALGOS), "hashes"))
+    """(hashes, distances) of the evaluation."""
+    h = eval_hashes(spark, sf)
     return h, P.distances(h, make_metrics(EVAL_METRICS), BITS, weights=weights)
 
 
@@ -112,17 +121,33 @@ def _confusion(spark: SparkSession, sf: str, normalize: str | None, weighted: bo
     return evaluate.confusion(h, t, normalize, weighted)
 
 
-def bit_frequency(spark: SparkSession, sf: str) -> DataFrame:
-    h, d = distance_table(spark, sf)
+def _frequencies(h: DataFrame, d: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(histogram, bit frequencies at the EER threshold) of distances d between hashes h; d is written once."""
     d = materialize(d, "distances")
-    t = evaluate.eer(evaluate.roc_points(evaluate.histogram(d))).select(*evaluate.TRIPLET, F.col("eer_threshold").alias("threshold"))
-    return bitanalysis.bit_frequencies(d, h, materialize(t, "thresholds"), BITS)
+    hist = materialize(evaluate.histogram(d), "histogram")
+    t = evaluate.eer(evaluate.roc_points(hist)).select(*evaluate.TRIPLET, F.col("eer_threshold").alias("threshold"))
+    return hist, bitanalysis.bit_frequencies(d, h, materialize(t, "thresholds"), BITS)
+
+
+def bit_frequency(spark: SparkSession, sf: str) -> DataFrame:
+    return _frequencies(*distance_table(spark, sf))[1]
+
+
+def _two_passes(spark: SparkSession, sf: str, metric: str = "hamming") -> tuple[DataFrame, DataFrame]:
+    """Histograms of a plain and of a weighted pass of one metric over the same hashes; no other metric is scored."""
+    h, m = eval_hashes(spark, sf), make_metrics({metric: EVAL_METRICS[metric]})
+    hist, freq = _frequencies(h, P.distances(h, m, BITS))
+    w = bitanalysis.weight_vectors(bitanalysis.bit_weights(freq))
+    return hist, materialize(evaluate.histogram(P.distances(h, m, BITS, weights=w)), "histogram")
 
 
 def metrics_weighted(spark: SparkSession, sf: str) -> DataFrame:
-    w = bitanalysis.weight_vectors(bitanalysis.bit_weights(bit_frequency(spark, sf)))
-    only = {k: v for k, v in w.items() if k[1] == "hamming"}
-    return evaluate.metrics(score_histogram(spark, sf, only)).where("metric = 'hamming'")
+    return evaluate.metrics(_two_passes(spark, sf)[1])
+
+
+def auc_improvement(spark: SparkSession, sf: str) -> DataFrame:
+    plain, weighted = _two_passes(spark, sf)
+    return S.improvement(evaluate.metrics(plain), evaluate.metrics(weighted))
 
 
 def sample_stability(spark: SparkSession, sf: str, sizes: Sequence[int] = (100, 250), iterations: int = 3) -> DataFrame:
@@ -154,20 +179,45 @@ def sample_stability(spark: SparkSession, sf: str, sizes: Sequence[int] = (100,
     return evaluate.auc(points, keys).join(evaluate.eer(points, keys), keys).select("transform", "sample_size", "iteration", "auc", "eer", "eer_threshold")
 
 
-def label_roc(spark: SparkSession, sf: str) -> DataFrame:
-    """AUC of the sign hash's Hamming similarity for equal labels, over all pairs of a sample of 200 vectors."""
-    v = read_table(spark, sf, "embeddings").select(F.col("vec_id").alias("file_id"), "label", H.sign_hash(F.col("embedding")).alias("hash"))
-    few = v.orderBy(F.md5(F.concat_ws(":", F.lit("42"), F.col("file_id").cast("string"))), "file_id").limit(200).withColumn("p", F.get(B.pack(F.col("hash"), BITS), F.lit(0))).withColumn("k", F.lit(0))
-    few = materialize(few.select("file_id", "label", "p", "k"), "few")
-    b = few.select(F.col("file_id").alias("f2"), F.col("label").alias("l2"), F.col("p").alias("p2"), "k")
-    pairs = few.join(b, "k").where("file_id < f2")
-    hist = pairs.groupBy((1 - F.bit_count(F.col("p").bitwiseXOR(F.col("p2"))) / 64.0).alias("s")).agg(
-        F.sum(F.when(F.col("label") == F.col("l2"), 1).otherwise(0)).alias("p"), F.sum(F.when(F.col("label") != F.col("l2"), 1).otherwise(0)).alias("n"))
-    hist = hist.select(F.lit("sign").alias("algo"), F.lit("label").alias("transform"), F.lit("hamming").alias("metric"), "s", "p", "n")
+def label_roc(spark: SparkSession, sf: str, block: int = 1024) -> DataFrame:
+    """AUC of the sign hash's Hamming similarity for equal labels, over all pairs of all vectors.
+
+    Equal hashes of one label are one entry with a count. Every pair of blocks of entries is a
+    task of its own, of which only a histogram of 65 similarities leaves. Null labels are left out.
+    """
+    ship(spark)
+    v = read_table(spark, sf, "embeddings").where("label is not null and embedding is not null")
+    v = v.select(F.col("label").cast("string").alias("label"), F.get(B.pack(H.sign_hash(F.col("embedding")), BITS), F.lit(0)).alias("p")).where("p is not null")
+    entries = materialize(v.groupBy("label", "p").agg(F.count("*").alias("w")), "entries")
+    blocks = -(-entries.count() // block) or 1
+    own = F.pmod(F.xxhash64("label", "p"), F.lit(blocks)).cast("int")
+    sides = entries.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sides = sides.select("label", "p", "w", "own", (F.least("own", "other") * blocks + F.greatest("own", "other")).alias("pair"))
+    hist = sides.groupBy("pair").applyInPandas(_pair_histogram, "d int, y long, n long").groupBy("d").agg(F.sum("y").alias("p"), F.sum("n").alias("n"))
+    hist = hist.select(F.lit("sign").alias("algo"), F.lit("label").alias("transform"), F.lit("hamming").alias("metric"), (1 - F.col("d") / 64.0).alias("s"), "p", "n")
     points = evaluate.roc_points(hist)
     return evaluate.auc(points).join(evaluate.eer(points), list(evaluate.TRIPLET)).select("algo", "auc", "eer", "eer_threshold")
 
 
+def _pair_histogram(rows: pd.DataFrame) -> pd.DataFrame:
+    """(d, y, n): pairs at Hamming distance d with equal and with different labels; of one block with itself each pair once."""
+    own, w, p = rows["own"].to_numpy(), rows["w"].to_numpy(), rows["p"].to_numpy().view(np.uint64)
+    label = np.unique(rows["label"].to_numpy().astype(str), return_inverse=True)[1]
+    a = np.flatnonzero(own == own.min())
+    two = own.min() != own.max()
+    b = np.flatnonzero(own != own.min()) if two else a
+    equal, other = np.zeros(65), np.zeros(65)
+    for i in range(0, len(a), 256):
+        x = a[i : i + 256]
+        d, n, same = np.bitwise_count(p[x][:, None] ^ p[b][None]), w[x][:, None] * w[b][None].astype(float), label[x][:, None] == label[b][None]
+        equal += np.bincount(d[same], n[same], 65)
+        other += np.bincount(d[~same], n[~same], 65)
+    if not two:  # ordered pairs, and each entry with itself
+        equal[0] -= w.sum()
+        equal, other = equal / 2, other / 2
+    return pd.DataFrame({"d": np.arange(65, dtype=np.int32), "y": np.rint(equal).astype(np.int64), "n": np.rint(other).astype(np.int64)}).query("y > 0 or n > 0")
+
+
 def _round_trip(spark: SparkSession, sf: str) -> DataFrame:
     bits = one_hash("sign")(spark, sf)
     h = bits.select("file_id", B.from_bit_string(F.col("bits")).alias("hash"))
@@ -175,10 +225,10 @@ def _round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _file_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Variants from a second scan, joined by file name: here the crops of even files."""
+    """Variants from a second scan, joined by file name: here the crops of all files."""
     name = F.concat(F.lit("img_"), F.col("file_id").cast("string"), F.lit(".png"))
     h = _bits(hash_table(spark, sf, [], ["sign"])).withColumn("filename", name).withColumnRenamed("bits", "hash")
-    other = _bits(hash_table(spark, sf, ["crop"], ["sign"])).where(F.col("transform") != T.ORIG).where("file_id % 2 = 0").withColumn("transform", F.lit(T.ORIG)).withColumn("filename", name).withColumnRenamed("bits", "hash")
+    other = _bits(hash_table(spark, sf, ["crop"], ["sign"])).where(F.col("transform") != T.ORIG).withColumn("transform", F.lit(T.ORIG)).withColumn("filename", name).withColumnRenamed("bits", "hash")
     return T.with_disk_variants(h, other, "from_disk").select("filename", "transform", F.col("hash").alias("bits"))
 
 
@@ -230,7 +280,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "bit_weights": lambda s, d: tidy(bitanalysis.bit_weights(bit_frequency(s, d))),
         "bit_weights_mean": lambda s, d: tidy(bitanalysis.bit_weights(bit_frequency(s, d), "mean")),
         "metrics_weighted": lambda s, d: tidy(metrics_weighted(s, d)),
-        "auc_improvement": lambda s, d: tidy(S.improvement(metrics_triplet(s, d), metrics_weighted(s, d))),
+        "auc_improvement": lambda s, d: tidy(auc_improvement(s, d)),
         "dist_stats": lambda s, d: tidy(S.describe(dist(s, d))),
         "inter_summary": lambda s, d: S.inter_summary(dist(s, d)),
         "auc_by_algo": lambda s, d: tidy(S.by_group(metrics_triplet(s, d), algo)),

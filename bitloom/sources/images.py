@@ -28,6 +28,17 @@ def scan_images(spark: SparkSession, path: str, glob: str | None = None) -> Data
     return df.where("height > 0")
 
 
+def scan_variant(spark: SparkSession, path: str, name: str = "") -> tuple[str, DataFrame]:
+    """(name, images) of a folder that holds ready-made variants under the original file names; the name is the folder's if none is given.
+
+    Hash them as images and join by operators.transforms.with_disk_variants. A missing folder is an error.
+    """
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(folder):
+        raise FileNotFoundError(path)
+    return name or folder.getName(), scan_images(spark, path)
+
+
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
     """(filename, path, length) of all files under path, without reading them."""
     r = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -149,8 +160,76 @@ def border_image(width: int = 10, colour: Sequence[float] = (255, 255, 255)) ->
     return run
 
 
-def rescale_image(factor: float) -> ImageTransform:
-    return lambda x: resize(x, max(1, int(x.shape[0] * factor)), max(1, int(x.shape[1] * factor)))
+def rescale_image(factor: float | None = None, fixed: tuple[int, int] | None = None, thumbnail: bool = True) -> ImageTransform:
+    """By a factor, or to fixed (height, width); a thumbnail keeps the aspect within them and is never larger than the image."""
+    if (factor is None) == (fixed is None):
+        raise ValueError("give factor or fixed")
+
+    def run(x: Pixels) -> Pixels:
+        h, w = x.shape[:2]
+        if factor is not None:
+            return resize(x, max(1, int(h * factor)), max(1, int(w * factor)))
+        if not thumbnail:
+            return resize(x, *fixed)
+        f = min(1.0, fixed[0] / h, fixed[1] / w)
+        return resize(x, max(1, round(h * f)), max(1, round(w * f)))
+    return run
+
+
+def blend_image(static: Pixels, direction: str = "Left-to-Right") -> ImageTransform:
+    """The image over a static one of its size, by a ramp of 256 steps; where the ramp is full, the image stays."""
+    way = direction.lower()
+    if way not in ("left-to-right", "right-to-left", "up-to-down", "down-to-up"):
+        raise ValueError(f"unknown direction {direction}")
+
+    def run(x: Pixels) -> Pixels:
+        h, w = x.shape[:2]
+        n = w if "left" in way else h
+        ramp = np.floor(np.arange(n) / n * 255)
+        ramp = (255 - ramp if way in ("right-to-left", "down-to-up") else ramp) / 255
+        alpha = (ramp[None, :] if "left" in way else ramp[:, None])[..., None]
+        return alpha * x + (1 - alpha) * resize(static, h, w)
+    return run
+
+
+def _pasted(x: Pixels, patch: Pixels, top: int, left: int, alpha: np.ndarray | float = 1.0) -> Pixels:
+    """x with what of patch lies inside at (top, left)."""
+    y = x.copy()
+    a, b = max(top, 0), max(left, 0)
+    c, d = min(top + patch.shape[0], x.shape[0]), min(left + patch.shape[1], x.shape[1])
+    if a < c and b < d:
+        cut = (slice(a - top, c - top), slice(b - left, d - left))
+        own = alpha[cut] if isinstance(alpha, np.ndarray) else alpha
+        y[a:c, b:d] = own * patch[cut] + (1 - own) * y[a:c, b:d]
+    return y
+
+
+def composite_image(static: Pixels, position: str = "left", coords: tuple[int, int] | None = None, scale: bool = False, size: tuple[int, int] | None = None) -> ImageTransform:
+    """A static image pasted at a named position, or with its corner at coords (x, y).
+
+    It is scaled to half of the image (sides) or a quarter (corners) if scale, to size
+    (height, width) if that is given, else to all of the image.
+    """
+    if coords is None and position not in ("left", "right", "top", "bottom", "topleft", "topright", "bottomleft", "bottomright"):
+        raise ValueError(f"unknown position {position}")
+
+    def run(x: Pixels) -> Pixels:
+        h, w = x.shape[:2]
+        ph, pw = size or ((h if position in ("left", "right") else h // 2, w if position in ("top", "bottom") else w // 2) if scale else (h, w))
+        left, top = coords if coords is not None else (w - pw if "right" in position else 0, h - ph if "bottom" in position else 0)
+        return _pasted(x, resize(static, max(1, ph), max(1, pw)), top, left)
+    return run
+
+
+def watermark_image(mark: np.ndarray, height_factor: float = 0.1, min_height: int = 40) -> ImageTransform:
+    """A mark (height x width x 4, its own alpha last) in the lower right corner, height_factor of the height but min_height at least, no wider than the image."""
+    def run(x: Pixels) -> Pixels:
+        h, w = x.shape[:2]
+        mh = max(min_height, int(h * height_factor))
+        mw = min(w, max(1, int(mark.shape[1] * mh / mark.shape[0])))
+        m = resize(mark.astype(float), mh, mw)
+        return _pasted(x, m[..., :3], h - mh, w - mw, m[..., 3:] / 255)
+    return run
 
 
 def rotate_image(degrees: float) -> ImageTransform:
