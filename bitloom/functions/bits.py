@@ -32,7 +32,7 @@ def pack(h: Column, n_bits: int) -> Column:
 
 
 def _pack_word(h: Column, at: int, size: int) -> Column:
-    powers, zero = F.array(*(F.lit(signed(1 << i)).cast("long") for i in range(size))), F.lit(0).cast("long")
+    powers, zero = F.expr("array(" + ", ".join(f"{signed(1 << i)}L" for i in range(size)) + ")"), F.lit(0).cast("long")
     return F.aggregate(F.sequence(F.lit(0), F.lit(size - 1)), zero, lambda acc, i: acc.bitwiseOR(F.when(F.get(h, i + at), F.get(powers, i)).otherwise(zero)))
 
 
@@ -81,7 +81,8 @@ def _by_bytes(words: Sequence[Column], weights: Sequence[float]) -> Column:
     terms = []
     for start in range(0, len(weights), 8):
         own = [float(w) for w in weights[start : start + 8]]
-        table = F.array(*(F.lit(math.fsum(w for i, w in enumerate(own) if b >> i & 1)) for b in range(1 << len(own))))
+        # One parsed literal: a call for each of its elements would cost more than the query.
+        table = F.expr("array(" + ", ".join(f"{math.fsum(w for i, w in enumerate(own) if b >> i & 1)!r}D" for b in range(1 << len(own))) + ")")
         byte = F.shiftrightunsigned(words[start // WORD], start % WORD).bitwiseAND(F.lit((1 << len(own)) - 1).cast("long"))
         terms.append(F.get(table, byte.cast("int")))
     return reduce(lambda a, b: a + b, terms)
