@@ -33,17 +33,23 @@ def normalise(text: Column) -> Column:
 
 
 def parse_passages(text: Column) -> Column:
-    """array<struct<level,text>>: runs of lines of one quote level, without their marks, in order."""
+    """array<struct<level,text>>: runs of lines of one quote level, without their marks, in order. Each line is copied once."""
     lines = F.transform(F.split(text, "\n"), lambda l: F.struct(
         F.length(F.regexp_replace(F.regexp_extract(l, _MARK, 0), r"[^>]", "")).alias("level"), F.regexp_replace(l, _MARK + " ?", "").alias("text")))
 
-    def add(acc: Column, line: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["level"].alias("level"), F.concat(last["text"], F.lit("\n"), line["text"]).alias("text"))))
-        return F.when((F.size(acc) > 0) & (last["level"] == line["level"]), F.when(F.size(acc) > 0, joined)).otherwise(F.concat(acc, F.array(line)))
+    one = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))  # noqa: E731  value is bound once
 
-    empty = F.array().cast("array<struct<level:int,text:string>>")
-    return F.aggregate(lines, empty, add)
+    def runs(rows: Column) -> Column:
+        n = F.size(rows)
+        begins = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get(rows, i)["level"] != F.get(rows, F.greatest(i - 1, F.lit(0)))["level"]))
+
+        def passage(starts: Column) -> Column:
+            part = lambda s, j: F.slice(rows, s + 1, F.coalesce(F.get(starts, j + 1), n) - s)
+            return F.transform(starts, lambda s, j: F.struct(F.get(rows, s)["level"].alias("level"), F.array_join(F.transform(part(s, j), lambda l: l["text"]), "\n").alias("text")))
+
+        return one(begins, passage)
+
+    return one(lines, runs)
 
 
 def parse_messages(messages: DataFrame) -> DataFrame:

@@ -418,6 +418,21 @@ def test_quotes(spark):
     assert len(got) == 11 and not any(">" in r.text for r in got)
 
 
+def test_passages_are_runs_of_one_level(spark):
+    from bitloom.llm.quotes import parse_passages
+
+    rng = np.random.default_rng(18)
+    marks = ["", "", ">", "> ", ">> ", " > > "]
+    texts = ["\n".join(str(rng.choice(marks)) + text(rng, 3) for _ in range(int(rng.integers(1, 12)))) for _ in range(60)] + ["", ">", "\n".join(["> " + text(rng, 8)] * 20_000)]
+
+    def brute(t):
+        lines = [(re.match(r"(\s*>)*", l)[0].count(">"), re.sub(r"^(\s*>)+ ?", "", l)) for l in t.split("\n")]
+        return [(k, "\n".join(x for _, x in g)) for k, g in itertools.groupby(lines, key=lambda l: l[0])]
+
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", parse_passages(F.col("t")).alias("p")).collect()
+    assert all([(p.level, p.text) for p in r.p] == brute(r.t) for r in got) and len(got) == len(texts)
+
+
 def test_short_quotes(spark):
     from bitloom.llm.quotes import reply_conversations
 
