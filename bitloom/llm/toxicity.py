@@ -22,7 +22,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -182,37 +181,47 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPL
     counts = sample.mapInArrow(count, "level int, h long, parent long, " + ", ".join(f"{c} long" for c in names))
     counts = counts.groupBy("level", "h").agg(F.min("parent").alias("parent"), *(F.sum(c).alias(c) for c in names))
     # The largest log-odds that fewer documents could reach is under Z standard errors.
-    pdf = counts.where(" + ".join(names) + " >= 3").toPandas()
+    counts = counts.where(" + ".join(names) + " >= 3").select(F.col("level").cast("byte").alias("level"), "h", "parent", *(F.col(c).cast("int").alias(c) for c in names))
+    table = counts.toArrow()
+    held = {c: table[c].to_numpy() for c in table.column_names}
+    del table
     size = {(r.fold, r.toxic): float(r.n) for r in sample.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
     every = range(FOLDS)
-    model = _log_odds(pdf, size, every)
-    if not len(model.keys):
+    model = _log_odds(held, size, every)
+    if len({c for _, c in size}) < 2:
         return model
-    _calibrate(model, [_log_odds(pdf, size, [f for f in every if f != out]) for out in every], sample)
+    _calibrate(model, [_log_odds(held, size, [f for f in every if f != out]) for out in every], sample)
     return model
 
 
-def _log_odds(pdf: pd.DataFrame, size: dict[tuple[int, int], float], folds) -> ToxicityModel:
-    """Log-odds from the counts of some folds; no keys unless they hold both classes."""
+def _log_odds(counts: dict[str, np.ndarray], size: dict[tuple[int, int], float], folds) -> ToxicityModel:
+    """Log-odds from the counts of some folds; no keys unless they hold both classes.
+
+    Only forms that tell the classes apart are keys: any other has log-odds 0, and so have all its stems.
+    """
     n1, n0 = (sum(size.get((f, c), 0.0) for f in folds) for c in (1, 0))
     if not n1 or not n0:
         return ToxicityModel(np.zeros(0, np.uint64), np.zeros(0))
     n = 2 / (1 / n1 + 1 / n0)
-    ones, zeros = (sum(pdf[f"y{c}_{f}"].to_numpy(float) for f in folds) for c in (1, 0))
-    share: dict[tuple[int, int], float] = {}
+    ones, zeros = (sum(counts[f"y{c}_{f}"] for f in folds) for c in (1, 0))
+    stems, shares = np.zeros(0, np.int64), np.zeros(0)  # told forms of the level before, sorted
     keys, values = [np.zeros(0, np.uint64)], [np.zeros(0)]
     for level in range(len(STEMS), -1, -1):
-        here = np.flatnonzero((pdf["level"].to_numpy() == level) & (ones + zeros >= 3))
-        h, y1, y0 = pdf["h"].to_numpy()[here], ones[here], zeros[here]
-        prior = np.array([share.get((level + 1, p), 0.5) for p in pdf["parent"].to_numpy()[here].tolist()])
+        here = np.flatnonzero((counts["level"] == level) & (ones + zeros >= 3))
+        h, y1, y0, parent = counts["h"][here], ones[here].astype(float), zeros[here].astype(float), counts["parent"][here]
+        prior = np.full(len(h), 0.5)
+        if len(stems):
+            at = np.minimum(np.searchsorted(stems, parent), len(stems) - 1)
+            prior = np.where(stems[at] == parent, shares[at], 0.5)
         a, b = y1 / n1 + PRIOR * prior / n, y0 / n0 + PRIOR * (1 - prior) / n
         odds = np.log(a / b)
         error = np.sqrt(1 / (y1 + PRIOR / 2) + 1 / (y0 + PRIOR / 2))
         # A form whose stem tells the classes apart inherits that by its prior; others need evidence of their own.
-        told = (np.abs(odds) >= Z * error) | (prior != 0.5)
-        share.update(zip(((level, x) for x in h.tolist()), np.where(told, np.clip(a / (a + b), 0.02, 0.98), 0.5).tolist()))
-        keys.append(h.astype(np.int64).view(np.uint64))
-        values.append(np.where(told, odds, 0.0))
+        told = np.flatnonzero((np.abs(odds) >= Z * error) | (prior != 0.5))
+        told = told[np.argsort(h[told])]
+        stems, shares = h[told], np.clip(a / (a + b), 0.02, 0.98)[told]
+        keys.append(stems.view(np.uint64))
+        values.append(odds[told])
     k, v = np.concatenate(keys), np.concatenate(values)
     order = np.argsort(k, kind="stable")
     return ToxicityModel(k[order], v[order])
