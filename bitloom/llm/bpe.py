@@ -31,7 +31,7 @@ from bitloom.llm.common import tune
 from bitloom.session import materialize
 
 #: Bounds on the shared table of distinct words, and on the words that a task remembers beside it.
-MAX_WORDS, MAX_BYTES, MEMO = 200_000, 64, 400_000
+MAX_WORDS, MAX_BYTES, MEMO = 200_000, 64, 100_000
 #: Buckets of the literal rank map: a lookup in a map literal is a scan, so each bucket is a small map.
 BUCKETS = 1 << 14
 NO_RANK = 2**31 - 1
@@ -163,15 +163,19 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, max_words: int = MAX_WORDS
 
 
 class _Words(dict):
-    """Ids of pre-tokens; what the shared table lacks is merged on first sight and remembered."""
+    """Ids of pre-tokens met by a task: taken from the shared table, else merged. At most MEMO are remembered; a full memory begins anew."""
 
-    def __init__(self, seed: dict[str, bytes], ranks: dict[bytes, int]):
-        super().__init__(seed)
-        self.ranks, self.limit = ranks, len(seed) + MEMO
+    def __init__(self, table: dict[str, bytes], ranks: dict[bytes, int]):
+        super().__init__()
+        self.table, self.ranks = table, ranks
 
     def __missing__(self, word: str) -> bytes:
-        ids = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
-        if len(self) < self.limit and len(word) <= MAX_BYTES:
+        ids = self.table.get(word)
+        if ids is None:
+            ids = np.array(merge(word.encode(), self.ranks), "<u4").tobytes()
+        if len(word) <= MAX_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
             self[word] = ids
         return ids
 
