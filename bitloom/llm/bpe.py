@@ -147,14 +147,16 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, max_words: int = MAX_WORDS
     if floor is None:
         return {}
     few = counts.where(F.col("bin") >= floor).select("w").repartition(64)
-    # The rank map's literal would fill descriptions of this plan, which the driver keeps.
-    spark, limit = docs.sparkSession, "spark.sql.maxPlanStringLength"
-    held_limit = spark.conf.get(limit)
-    spark.conf.set(limit, "4096")
+    # The rank map's literal would fill descriptions and events of this plan, which the driver keeps: only the first column is named there.
+    spark, limits = docs.sparkSession, {"spark.sql.maxPlanStringLength": "4096", "spark.sql.debug.maxToStringFields": "1"}
+    held_limits = {k: spark.conf.get(k) for k in limits}
+    for k, v in limits.items():
+        spark.conf.set(k, v)
     try:
         found = few.select("w", fold_merges(F.col("w"), tokenizer.ranks).alias("ids")).toArrow()
     finally:
-        spark.conf.set(limit, held_limit)
+        for k, v in held_limits.items():
+            spark.conf.set(k, v)
     ids, ends = found["ids"].combine_chunks(), found["w"].to_pylist()
     if isinstance(ids, pa.ChunkedArray):
         ids = pa.concat_arrays(ids.chunks)
