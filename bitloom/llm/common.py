@@ -15,7 +15,7 @@ from pyspark.sql import SparkSession
 from bitloom.session import ship
 
 #: Bytes of text that one kernel call handles (a longer document is handled alone).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 18
 #: Records in an Arrow batch; a batch of the longest documents still fits a Python worker.
 BATCH_RECORDS = 1000
 
