@@ -140,7 +140,9 @@ def _sampled(docs: DataFrame, labels: DataFrame, max_sample: int) -> DataFrame:
     )
     few = materialize(few, "sample")
     found = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return materialize(found.dropDuplicates(["h"]).drop("h"), "labelled")
+    # Of equal texts that of the smallest doc_id, so that the model is the same in each run.
+    one = found.groupBy("h").agg(F.min(F.struct("doc_id", "toxic", "text")).alias("d"))
+    return materialize(one.select("d.doc_id", "d.text", "d.toxic"), "labelled")
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> ToxicityModel:
