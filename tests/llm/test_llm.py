@@ -5,6 +5,7 @@ import itertools
 import math
 import re
 import sys
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -315,6 +316,31 @@ def test_secret_network_finds_kinds_that_no_pattern_knows(spark):
     assert sum(len(f) for f in find_all(clean, m)) <= 2
 
 
+def test_secret_fit_counts_the_whole_corpus(spark):
+    from bitloom.llm.secrets import GRAM, Texts, _ALPHABET, _LETTERS, _gram_counts, find_all, fit_secrets
+
+    rng = np.random.default_rng(8)
+    draw = lambda chars, n: "".join(rng.choice(list(chars), n))
+    alnum = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    texts = [f"{text(rng, 40)} {'token=' + draw('0123456789abcdef', 40) if i % 9 == 0 else 'ghp_' + draw(alnum, 36) if i % 31 == 0 else 'item-' + str(i)} {text(rng, 30)}" for i in range(900)] + ["", "é", "a\0b"]
+    table = spark.createDataFrame([(t,) for t in texts], "text string")
+    m, again = fit_secrets(table.repartition(3)), fit_secrets(table.repartition(11))
+    assert m.threshold == again.threshold and m.temperature == again.temperature and all(np.array_equal(getattr(m, k), getattr(again, k)) for k in "wbuavc")
+    n_all = sum(len(part.candidates()[0]) for _, part in Texts.slices(texts))
+    marked = sum(k == "network" for found in find_all(texts, m) for _, k, _ in found)
+    assert n_all > 10_000 and 10 < marked and m.marked == pytest.approx(marked / n_all, rel=1e-9)
+    # Runs of all texts, each on its own between other ones.
+    want = Counter()
+    for t in texts:
+        letters = [0] * (GRAM - 1) + [int(_ALPHABET[min(ord(c), 255)]) for c in t] + [0] * (GRAM - 1)
+        want.update(x for i in range(len(letters) - GRAM + 1) if (x := sum(y * _LETTERS ** (GRAM - 1 - j) for j, y in enumerate(letters[i : i + GRAM]))))
+    got = Counter()
+    for k, codes, counts in _gram_counts(iter(table.toArrow().to_batches(max_chunksize=100))):
+        if k == 0:
+            got.update(dict(zip(codes.tolist(), counts.tolist())))
+    assert got == want
+
+
 def test_secret_score_reads_whole_candidates_and_both_contexts():
     from bitloom.llm.secrets import CLASSES, FILTERS, HIDDEN, SPAN, WIDTH, SecretModel, Texts, _TABLE, find
 
