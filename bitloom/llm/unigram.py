@@ -47,7 +47,9 @@ class Trie:
 
     def __init__(self, model: UnigramModel):
         self.scores = model.scores
-        self.longest = max(map(len, self.scores), default=1)
+        # Ends of pieces with the piece's score, none where it is no piece: beyond an end that no piece has, no longer one is looked up.
+        self.ends: dict[str, float | None] = dict.fromkeys(k[i:] for k in self.scores for i in range(1, len(k)))
+        self.ends.update(self.scores)
         self.byte = min(self.scores.values(), default=0.0) - BYTE_PENALTY
         self.clear()
 
@@ -62,26 +64,35 @@ class Trie:
             self.clear()
         if len(word) > 10_000:
             return self._alone(word)
+        child, best = self.child, self.best
         node, path = 0, [(0.0, 0)]
         for i, c in enumerate(word, 1):
-            nxt = self.child[node].get(c)
+            nxt = child[node].get(c)
             if nxt is None:
-                nxt = len(self.child)
-                self.child[node][c] = nxt
-                self.child.append({})
-                self.best.append(self._forward(word, i, path))
+                nxt = len(child)
+                child[node][c] = nxt
+                child.append({})
+                best.append(self._forward(word, i, path))
             node = nxt
-            path.append(self.best[node])
+            path.append(best[node])
         return -path[-1][1]
 
     def _forward(self, word: str, i: int, path: list[tuple[float, int]]) -> tuple[float, int]:
-        b = len(word[i - 1].encode("utf-8", "surrogatepass"))
-        best = (path[i - 1][0] + b * self.byte, path[i - 1][1] - b)
-        for j in range(max(0, i - self.longest), i):
-            s = self.scores.get(word[j:i])
-            if s is not None and (x := (path[j][0] + s, path[j][1] - 1)) > best:
-                best = x
-        return best
+        b = 1 if (c := word[i - 1]) < "\x80" else len(c.encode("utf-8", "surrogatepass"))
+        score, few = path[i - 1]
+        score, few = score + b * self.byte, few - b
+        ends = self.ends
+        for j in range(i - 1, -1, -1):
+            s = ends.get(word[j:i], False)
+            if s is None:
+                continue
+            if s is False:
+                break
+            x, n = path[j]
+            x += s
+            if x > score or x == score and n - 1 > few:
+                score, few = x, n - 1
+        return score, few
 
     def _alone(self, word: str) -> int:
         """A very long pre-token shares no prefix worth keeping."""

@@ -394,6 +394,33 @@ def test_secret_candidates_leave_nothing_out():
     assert parts(*texts) == want
 
 
+def test_unigram_looks_no_further_than_pieces_reach():
+    from bitloom.llm.unigram import BYTE_PENALTY, Trie, UnigramModel
+
+    class Counted(dict):
+        n = 0
+
+        def get(self, *key):
+            Counted.n += 1
+            return super().get(*key)
+
+    pieces = {c: -3.0 - i for i, c in enumerate("abcdefgh")} | {"ab": -3.5, "cab": -4.0, "é": -2.0, "hhhhhhhhhhhhhhhh": -5.0, "xyxy": -1.0}
+    trie = Trie(UnigramModel(pieces))
+    trie.ends = Counted(trie.ends)
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list("abcdegéxy漢"), 12)) for _ in range(200)] + ["h" * 40, "xyxyx"]
+    for w in words:
+        best = [(0.0, 0)]
+        for i in range(1, len(w) + 1):
+            b = len(w[i - 1].encode())
+            ways = [(best[i - 1][0] + b * (-10.0 - BYTE_PENALTY), best[i - 1][1] - b)]
+            best.append(max(ways + [(best[j][0] + pieces[w[j:i]], best[j][1] - 1) for j in range(i) if w[j:i] in pieces]))
+        assert trie.count(w) == -best[-1][1]
+    Counted.n = 0
+    trie.clear()
+    assert trie.count("gfed" * 100) == 400 and Counted.n <= 2 * 400
+
+
 def test_simhash(docs):
     from bitloom.llm.simhash import edited_fingerprints, near_fingerprints
 
