@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from bitloom.llm.common import tune
-from bitloom.session import materialize
+from bitloom.session import materialize, release
 
 #: Bounds on the shared table of distinct words, and on the words that a task remembers beside it.
 MAX_WORDS, MAX_BYTES, MEMO = 200_000, 64, 100_000
@@ -157,6 +157,7 @@ def word_table(docs: DataFrame, tokenizer: Tokenizer, max_words: int = MAX_WORDS
     finally:
         for k, v in held_limits.items():
             spark.conf.set(k, v)
+    release(spark)  # of the literal's copies in plans and tasks
     ids, ends = found["ids"].combine_chunks(), found["w"].to_pylist()
     if isinstance(ids, pa.ChunkedArray):
         ids = pa.concat_arrays(ids.chunks)

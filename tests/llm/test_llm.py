@@ -635,3 +635,24 @@ def test_pipeline_stages_on_empty_and_clashing_tables(spark, tmp_path):
         out = P.STAGES[-1][1](spark, d, str(tmp_path))
         assert out.count() == d.count() and "n_tokens" in out.columns
         assert {r.copies for r in d.collect()} <= {r[5] for r in rows}
+
+
+def test_pipeline_stages_collect_the_drivers_garbage(spark, monkeypatch):
+    import corpus_pipeline as P
+    from bitloom.session import release
+
+    beans = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans())
+    before = beans()
+    release(spark)
+    assert beans() > before
+
+    class Called(Exception):
+        pass
+
+    def called(_):
+        raise Called
+
+    monkeypatch.setattr(P, "release", called)
+    for _, stage in P.STAGES:
+        with pytest.raises(Called):
+            stage(spark, spark.createDataFrame([], "doc_id long, text string"), "")
